@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import decontaminate, mixing, quality, simhash, syncmers, token_output
+from leafmill.llm import decontaminate, mixing, quality, simhash, syncmers, token_output, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("n_passages", F.size("passages")).drop("passages")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_toxic_segments": op6_toxic_segments,
+    "op7_url_filter": op7_url_filter,
     "op8_source_mixing": op8_source_mixing,
     "op9_token_output": op9_token_output,
     "op10_quality_classifier": op10_quality_classifier,
@@ -71,6 +83,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
+_OP7 = r"""
+WITH r(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+  ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+s AS (SELECT row_number() OVER () AS rid, page_id,
+  CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT rid, page_id,
+  translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+f AS (SELECT rid, rhost || rpath AS rule, verdict,
+  row_number() OVER (PARTITION BY rid ORDER BY length(rhost) DESC, length(rpath) DESC) AS k
+  FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM u LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (rid)
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_url_filter": _OP7,
     "op5_benchmark_decontamination": _OP5,
 }
