@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontaminate, mixing, quality, simhash, syncmers, token_output, toxicity, urlfilter
+from leafmill.llm import decontaminate, mixing, pii, quality, simhash, syncmers, token_output, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,28 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _of_kind(k: int) -> Callable:
+    return lambda span: span["kind"] == k
+
+
+def pii_digest(docs: DataFrame) -> DataFrame:
+    found = pii.find(docs)
+    counts = [
+        F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(pii.KINDS[:4])
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.spelt(F.col("base")), 256).alias("base_sha256"),
+        pii.spelt(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+def op3_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_likeness(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +71,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_pii_candidates": op3_pii_candidates,
     "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_toxic_segments": op6_toxic_segments,

@@ -30,7 +30,7 @@ def test_blocks_decode_alone_and_damage_shows():
         rans.decode(bytes(bad))
     skew = np.zeros(200_000, "<u4")
     skew[::100] = 7
-    assert len(rans.encode(skew)) < 3500
+    assert len(rans.encode(skew)) < 13 * 8 * rans.LANES + 2500  # lane states, and the 2 KB that the entropy asks for
 
 
 def check(rows, docs):
