@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontaminate, mixing, pii, quality, simhash, syncmers, token_output, toxicity, urlfilter
+from leafmill.llm import decontaminate, licenses, mixing, pii, quality, simhash, syncmers, token_output, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,19 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+#: Documents have no paths: their source is the top directory, and the id says
+#: how far below it they lie, in directories of a thousand and of fifty ids.
+DOCUMENT_PATH = (
+    "source || CASE doc_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/' || (doc_id div 1000) || '/' "
+    "ELSE '/' || (doc_id div 1000) || '/' || (doc_id div 50) || '/' END || doc_id || '.txt'"
+)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(DOCUMENT_PATH).alias("path"))
+    return licenses.scan(docs)
+
+
 def _of_kind(k: int) -> Callable:
     return lambda span: span["kind"] == k
 
@@ -71,6 +84,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_pii_candidates": op3_pii_candidates,
     "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
@@ -122,6 +136,7 @@ FROM u LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (rid)
 """
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": licenses.oracle(DOCUMENT_PATH.replace(" div ", " // ")),
     "op7_url_filter": _OP7,
     "op5_benchmark_decontamination": _OP5,
 }
