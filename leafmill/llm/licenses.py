@@ -45,9 +45,12 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under the CC0 1.0 License."),
-    ("Proprietary", "All rights reserved. No license is granted."),
+    ("Proprietary", "All rights reserved."),
+    ("Proprietary", "No license is granted."),
 )
 THRESHOLD = 0.75
+#: A file whose license is among so many first lines or sentences opens with it.
+OPENING = 2
 MENTION = r"(?i)licen[sc]e|spdx|all rights reserved"
 FILE_NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -128,7 +131,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
     kinds = scratch.keep(classify_statements(listed.select("said").distinct()), "kinds")
     best = F.max(F.struct("score", "license", (-F.col("at")).alias("at"))).alias("b")
     own = listed.join(kinds, "said").groupBy("row", "path").agg(best)
-    own = own.select("row", "path", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"), (F.col("b.at") == 0).alias("opens"))
+    own = own.select("row", "path", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"), (F.col("b.at") > -OPENING).alias("opens"))
     named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
     own = scratch.keep(own.withColumn("is_license_file", (F.col("opens") | named) & F.col("path").isNotNull()).drop("opens"), "own")
 
@@ -183,7 +186,7 @@ c AS (SELECT said, license, round(sum(x * weight) / any_value(size), 6) AS score
 k AS (SELECT said, max({{'score': score, 'license': license}}) AS b FROM c WHERE score >= {THRESHOLD} GROUP BY said),
 own AS (SELECT rid, path, max({{'score': b.score, 'license': b.license, 'spot': -spot}}) AS o FROM m JOIN k USING (said) GROUP BY rid, path),
 own2 AS (SELECT rid, path, o.license AS own_license, o.score AS own_score,
-  path IS NOT NULL AND (o.spot = 0 OR regexp_matches(path, '{FILE_NAMES.replace("(?i)", "")}', 'i')) AS is_license_file FROM own),
+  path IS NOT NULL AND (o.spot > -{OPENING} OR regexp_matches(path, '{FILE_NAMES.replace("(?i)", "")}', 'i')) AS is_license_file FROM own),
 d AS (SELECT {dir_('path')} AS up, min({{'path': path, 'license': own_license}}).license AS license
   FROM own2 WHERE is_license_file GROUP BY 1),
 q AS (SELECT r.*, {dir_('path')} AS dir FROM r),

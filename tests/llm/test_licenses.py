@@ -44,7 +44,7 @@ def test_nearest_ancestor_and_odd_rows(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [
         (1, "LICENSE", f"x\n{mit}"), (2, "a/b/c.py", "code"), (3, "a/COPYING", f"about\n{apache}"), (4, "a/b/d/e.py", None),
-        (5, "ab/x.py", ""), (6, "a/b/own.py", f"code\n{mit} more"), (7, None, mit), (None, "a/z", "q"), (8, "top.py", "q"), (8, "top.py", "q"),
+        (5, "ab/x.py", ""), (6, "a/b/own.py", f"code\nmore\n{mit} end"), (7, None, mit), (None, "a/z", "q"), (8, "top.py", "q"), (8, "top.py", "q"),
         (9, "//a//b", "license " * 20_000), (10, "", "x"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string").selectExpr("*", "1 as row", "2 as score")
