@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,24 @@ from leafmill.scratch import Scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
-SEGMENT_IDS = 1 << 21
+SEGMENT_IDS = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printing
+    Latin-1 stands for itself, the others follow from U+0100 in order."""
+    plain = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Whole texts to ids, by the tokenizers library.
 
@@ -41,43 +54,53 @@ class Encoder:
     stands between two other characters, so the ids of a text are those of the
     parts between such spaces, each with its space.  Parts that come up again
     are looked up; the rest goes to the library in one batch for each call.
+    A part is remembered without its space; a text's first part, which has
+    none, under a key that begins with one, as no other part does.  A part of
+    letters only is one piece, so the library's model takes it directly.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = []
+        get = self.known.get
+        rows, found = [], []
+        new: dict[str, bytes] = {}
         for t in texts:
-            cut = (_CUT.split(t) if _SPACES.search(t) else t.split(" ")) if t else []
-            if len(cut) > 1 and not (cut[0] and cut[-1]):  # a space at either end
-                cut = _CUT.split(t)
-            parts.append(cut[:1] + [" " + p for p in cut[1:]])
-        known = self.known
-        new = list({p for row in parts for p in row if p not in known})
-        found = dict(
-            zip(new, (np.array(e.ids, "<u4").tobytes() for e in self._encoded(new)), strict=True)
-        )
-        if len(known) + len(found) <= REMEMBERED:
-            known.update(found)
-            found = known
-        elif len(known) < REMEMBERED:
-            known.update(list(found.items())[: REMEMBERED - len(known)])
+            cut = _CUT.split(t) if _SPACES.search(t) or t[:1] == " " or t[-1:] == " " else t.split(" ")
+            cut[0] = " " + cut[0]
+            ids = list(map(get, cut))
+            if None in ids:
+                new.update((p, b"") for p, x in zip(cut, ids, strict=True) if x is None)
+            rows.append(cut)
+            found.append(ids)
+        self._encode(new)
         out = []
-        for row in parts:
-            if found is known:
-                ids = b"".join([known[p] for p in row])
-            else:
-                ids = b"".join([found[p] if p in found else known[p] for p in row])
-            out.append(np.frombuffer(ids, "<u4"))
+        for cut, ids in zip(rows, found, strict=True):
+            if None in ids:
+                ids = [new[p] if x is None else x for p, x in zip(cut, ids, strict=True)]
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
+        room = REMEMBERED - len(self.known)
+        self.known.update(new if len(new) <= room else islice(new.items(), room))
         return out
 
-    def _encoded(self, parts: list[str]):
-        for at in range(0, len(parts), 4096):
-            yield from self.tokenizer.encode_batch_fast(parts[at : at + 4096], add_special_tokens=False)
+    def _encode(self, new: dict[str, bytes]) -> None:
+        mixed = []
+        for p in new:
+            if p.isalpha():
+                piece = f" {p}".encode().decode("latin-1").translate(_BYTE_LETTERS)
+                new[p] = array("I", [x.id for x in self.merge(piece)]).tobytes()
+            else:
+                mixed.append(p)
+        for at in range(0, len(mixed), 4096):
+            part = mixed[at : at + 4096]
+            texts = [p[1:] if p[0] == " " else " " + p for p in part]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                new[p] = array("I", e.ids).tobytes()
 
 
 @lru_cache(maxsize=2)
