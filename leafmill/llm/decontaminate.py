@@ -55,19 +55,18 @@ def index_schema(id_type: T.DataType) -> T.StructType:
     )
 
 
-def _segment(number: int, ids: list, docs: list[list[bytes]], id_type: pa.DataType) -> pa.RecordBatch:
-    numbers: dict[bytes, int] = {}
-    take = numbers.setdefault
+def _segment(number: int, ids: list, docs: list[np.ndarray], numbers: dict[bytes, int], id_type: pa.DataType) -> pa.RecordBatch:
     lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-    total = int(lengths.sum())
-    terms = np.fromiter((take(w, len(numbers)) for doc in docs for w in doc), np.int32, total)
-    bases = np.concatenate([[0], np.cumsum(lengths + GAP)[:-1]]) if len(docs) else np.zeros(0, np.int64)
+    terms = np.concatenate(docs)
+    total = len(terms)
+    bases = np.concatenate([[0], np.cumsum(lengths + GAP)[:-1]])
     places = np.arange(total) + np.repeat(bases - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
     order = np.argsort(terms, kind="stable")
     counts = np.bincount(terms, minlength=len(numbers)).astype("<u4")
-    steps = np.diff(places[order], prepend=0)
+    places = places[order]
+    steps = np.diff(places, prepend=0)
     firsts = np.cumsum(counts) - counts
-    steps[firsts] = places[order][firsts]
+    steps[firsts] = places[firsts]
     planes = steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
     row = {
         "segment": pa.array([number], pa.int64()),
@@ -83,7 +82,8 @@ def _segment(number: int, ids: list, docs: list[list[bytes]], id_type: pa.DataTy
 def _segments(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
-        docs: list[list[bytes]] = []
+        docs: list[np.ndarray] = []
+        numbers: dict[bytes, int] = {}
         held, id_type = 0, None
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -91,13 +91,14 @@ def _segments(size: int):
             for i, t in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
                 text = t.as_py()
                 ids.append(i.as_py())
-                docs.append(words_of(text))
+                take = numbers.setdefault
+                docs.append(np.array([take(w, len(numbers)) for w in words_of(text)], np.int32))
                 held += len(text or b"")
                 if held >= size:
-                    yield _segment(number, ids, docs, id_type)
-                    ids, docs, held, number = [], [], 0, number + 1
+                    yield _segment(number, ids, docs, numbers, id_type)
+                    ids, docs, numbers, held, number = [], [], {}, 0, number + 1
         if ids:
-            yield _segment(number, ids, docs, id_type)
+            yield _segment(number, ids, docs, numbers, id_type)
 
     return run
 
