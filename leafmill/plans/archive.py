@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from leafmill import registry
 from leafmill.config import Config
-from leafmill.functions import headings, profile, quality, splitting
-from leafmill.operators import answers, index, retrieval
+from leafmill.functions import keywords, profile, quality, splitting
+from leafmill.operators import answers, index, retrieval, sections
 from leafmill.operators.filters import Filters, chunk_predicate, profile_predicate
 from leafmill.sources import parsers
 
@@ -82,17 +82,11 @@ class Archive:
         parsed = Scratch(self.spark, "parsed").keep(parsed.drop("content"), "files")
         good = parsed.where("status = 'ok'")
         blocks = good.select("document_id", F.explode("blocks").alias("b")).select("document_id", "b.*")
-        level = F.when(F.col("kind") != "table", F.coalesce("level", headings.heading_level(F.element_at(F.split("text", "\n"), 1))))
-        blocks = blocks.withColumn("level", level.cast("int")).withColumn(
-            "title", F.when(F.col("level").isNotNull(), F.when(F.col("kind") == "heading", F.col("text")).otherwise(headings.heading_title(F.element_at(F.split("text", "\n"), 1))))
-        )
-        heads = blocks.where("level is not null").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ix", "level", "title"))).alias("h"))
-        paths = headings.section_paths(F.transform("h", lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"))))
-        heads = heads.select("document_id", F.explode(F.arrays_zip(F.transform("h", lambda x: x["ix"]).alias("ix"), paths.alias("path"))).alias("z")).select("document_id", "z.*")
-        sectioned = blocks.join(heads, ["document_id", "ix"], "left").withColumnRenamed("ix", "block_ix")
+        outline = good.select("document_id", F.explode("outline").alias("o")).select("document_id", "o.*", F.lit(None).cast("int").alias("page_no"))
+        sectioned = sections.sectioned(blocks.drop("level").withColumnRenamed("ix", "block_ix"), outline)
         c = self.config.chunking
         chunks = splitting.chunk_documents(
-            sectioned.select("document_id", "block_ix", "text", "page_no", "kind", "level", "title", "path"), c.target_chars, c.overlap_ratio
+            sectioned.select("document_id", "block_ix", "text", "page_no", "kind", "level", "title", "path", "gap"), c.target_chars, c.overlap_ratio
         )
         job = F.lit(job_id).cast("string")
         chunks = chunks.withColumns({"language": quality.detect_language(F.col("text")), "job_id": job, "dense": self.embed(F.col("text"))})
@@ -106,7 +100,8 @@ class Archive:
     def _profiles(self, good: DataFrame, job) -> DataFrame:
         whole = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
         texts = F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: b["text"])
-        rows = good.withColumns({"whole": whole, "intro": profile.intro(texts), "filename": F.element_at(F.split("path", "/"), -1)})
+        terms = keywords.extract(good.select("document_id", whole.alias("text")))
+        rows = good.join(terms, "document_id").withColumns({"whole": whole, "intro": profile.intro(texts), "filename": F.element_at(F.split("path", "/"), -1)})
         body = F.col("whole")
         score = quality.score(F.length(body) / F.greatest("page_count", F.lit(1)), quality.bad_char_ratio(body), quality.text_plausibility(body), F.lit(0))
         outline = F.array_join(F.transform(F.slice("outline", 1, 20), lambda o: o["title"]), " · ")
@@ -117,14 +112,14 @@ class Archive:
                 "entities": F.slice(profile.entities_by_place(body), 1, 15),
                 "parse_quality": score,
                 "summary": F.substring("intro", 1, 300),
-                "topics": F.array().cast("array<string>"),
+                "topics": F.slice("keywords", 1, 10),
                 "parser_used": F.col("parser"),
                 "job_id": job,
             }
         )
         title = profile.title(F.lit(None).cast("string"), F.get(F.col("outline"), F.lit(0))["title"], F.lit(None).cast("string"))
         text = profile.profile_text(
-            title, profile.path_terms(F.col("path")), outline, F.col("topics"), F.col("intro"), F.col("entities"), F.col("doc_type"), F.col("page_count")
+            title, profile.path_terms(F.col("path")), outline, F.col("keywords"), F.col("intro"), F.col("entities"), F.col("doc_type"), F.col("page_count")
         )
         rows = rows.withColumn("profile_text", text)
         return rows.withColumn("dense", self.embed(F.col("profile_text"))).select(*[f.split()[0] for f in SCHEMAS["profiles"].split(", ")])

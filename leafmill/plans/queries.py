@@ -77,7 +77,7 @@ def _ask(spark: SparkSession, text: str = ASK) -> DataFrame:
 @query("SELECT doc_id, sha256(text) AS content_hash, length(text) AS n_chars FROM documents")
 def scan_fingerprint(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return d.select("doc_id", ids.content_hash(F.col("text")).alias("content_hash"), F.length("text").alias("n_chars"))
+    return d.select("doc_id", ids.content_hash(F.col("text")).alias("content_hash"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query(
@@ -524,6 +524,26 @@ def cheap_profile(spark, sf_dir):
     return rows.select("doc_id", text.alias("text"), F.substring("intro", 1, 300).alias("summary"))
 
 
+@query()
+def keywords_local(spark, sf_dir):
+    """Keyphrases of each document by its own statistics."""
+    from leafmill.functions import keywords
+
+    return keywords.extract(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+
+@query()
+def section_chunks(spark, sf_dir):
+    """Section-aware chunks of documents whose lines carry numbers."""
+    lines = _numbered(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("document_id"), F.col("ix").alias("block_ix"), F.col("line").alias("text"), F.lit(1).alias("page_no"), F.lit("text").alias("kind")
+    )
+    from leafmill.operators import sections
+
+    rows = sections.sectioned(lines).select("document_id", "block_ix", "text", "page_no", "kind", "level", "title", "path", "gap")
+    return splitting.chunk_documents(rows)
+
+
 # --- index state --------------------------------------------------------------
 
 
