@@ -20,6 +20,13 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Query vectors that a dense search may broadcast.
 MOST_QUERIES = 10_000
+#: Distinct query terms that a lexical search may broadcast.
+MOST_TERMS = 200_000
+
+
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` to be broadcast if there are at most ``most``, else as they are."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def top(rows: DataFrame, k: int, *order: Column, by: str | None = None) -> DataFrame:
@@ -47,8 +54,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, filters: Filters | None
     listed = rows.select("chunk_id", lexical.terms(F.col(text)).alias("terms"))
     whole = listed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.size("terms"), F.lit(1))).alias("avgdl"))
     asked = queries.select("query_id", F.explode(lexical.query_terms(F.col("query"))).alias("term"))
-    wanted = asked.select("term").distinct()
-    # Only asked terms are exploded and counted; each chunk keeps its length.
+    wanted = small(asked.select("term").distinct(), MOST_TERMS)
+    # Other terms go before anything is shuffled; each chunk keeps its length.
     tf = (
         listed.select("chunk_id", F.greatest(F.size("terms"), F.lit(1)).alias("dl"), F.explode("terms").alias("term"))
         .join(wanted, "term", "left_semi")
