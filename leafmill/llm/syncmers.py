@@ -28,7 +28,6 @@ S = 6
 SLOTS = 128
 #: Code points that are hashed at a time; texts of any length are.
 _BLOCK = 1 << 20
-_EMPTY = np.uint32(0)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,12 +78,16 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str, k: int = K, s: int = S, slots: int = SLOTS) -> np.ndarray:
-    """``slots`` 32-bit values; 0 marks a slot without a syncmer."""
-    out = np.full(slots, 0xFFFFFFFF, np.uint32)
+    """``slots`` 16-bit values; 0 marks a slot without a syncmer.
+
+    A slot's value is drawn from its least hash by mixing, so two different
+    least hashes agree by chance once in 65,535.
+    """
+    least = np.full(slots, ~np.uint64(0))
     hashes = anchors(text, k, s)[1]
-    values = np.clip(hashes >> np.uint64(32), 1, 0xFFFFFFFE).astype(np.uint32)
-    np.minimum.at(out, (hashes % np.uint64(slots)).astype(np.int64), values)
-    return np.where(out == 0xFFFFFFFF, _EMPTY, out)
+    np.minimum.at(least, (hashes % np.uint64(slots)).astype(np.int64), hashes)
+    values = (_mix(least) % np.uint64(0xFFFF) + np.uint64(1)).astype(np.uint16)
+    return np.where(least == ~np.uint64(0), np.uint16(0), values)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -94,11 +97,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint(x: np.ndarray) -> str:
-    return x.astype(">u4").tobytes().hex()
+    return x.astype(">u2").tobytes().hex()
 
 
 def parse(x: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint32)
+    return np.frombuffer(bytes.fromhex(x), ">u2").astype(np.uint16)
 
 
 def _edited(text: str, following: str) -> str:
@@ -213,7 +216,7 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    done = scratch.keep(dealt.mapInArrow(_within, _schema(rows.schema["id"], True)), "partitions")
+    done = scratch.keep(dealt.mapInArrow(_within, _schema(rows.schema["id"], True)), "partitions", "zstd")
     ends = done.where("edge is not null")
     # One number for each partition that has rows; the text itself stays put.
     parts = ends.where("edge = 'first'").select("part")
