@@ -135,17 +135,9 @@ q3 AS (SELECT *, CASE WHEN len(toks) = 0 THEN 0.0 ELSE (script + vowels + words)
 round(words, 6) AS function_words, round(runs, 6) AS repetition, round(plausible, 6) AS plausibility, round(bad, 6) AS bad_chars FROM q3"""
 )
 def text_quality(spark, sf_dir):
-    t = F.col("text")
-    return documents(spark, sf_dir).select(
-        "doc_id",
-        quality.n_tokens(t).cast("long").alias("n_tokens"),
-        F.round(quality.script_validity(t), 6).alias("script_validity"),
-        F.round(quality.vowel_rate(t), 6).alias("vowel_rate"),
-        F.round(quality.function_word_rate(t), 6).alias("function_words"),
-        F.round(quality.repetition(t), 6).alias("repetition"),
-        F.round(quality.text_plausibility(t), 6).alias("plausibility"),
-        F.round(quality.bad_char_ratio(t), 6).alias("bad_chars"),
-    )
+    ratios = ("script_validity", "vowel_rate", "function_words", "repetition", "plausibility", "bad_chars")
+    rows = quality.measure(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *[F.round(r, 6).alias(r) for r in ratios])
 
 
 @query(
@@ -158,16 +150,11 @@ SELECT doc_id, round(s, 6) AS score,
     WHEN plausible < 0.57 THEN 'text_plausibility' END AS trigger, chars >= 25 AND script < 0.95 AS unrecoverable FROM n"""
 )
 def quality_gate(spark, sf_dir):
-    t = F.col("text")
-    rows = documents(spark, sf_dir).select(
-        "doc_id",
-        F.length("text").cast("double").alias("chars"),
-        quality.bad_char_ratio(t).alias("bad"),
-        quality.text_plausibility(t).alias("plausible"),
-        quality.script_validity(t).alias("script"),
+    rows = quality.measure(documents(spark, sf_dir).select("doc_id", "text")).withColumn("chars", F.length("text").cast("double"))
+    c = [F.col(n) for n in ("chars", "bad_chars", "plausibility")]
+    made = rows.select(
+        "doc_id", F.round(quality.score(*c, F.lit(0)), 6).alias("score"), quality.gate(*c, F.lit(0), F.col("script_validity"), F.lit(0)).alias("g")
     )
-    c = [F.col(n) for n in ("chars", "bad", "plausible")]
-    made = rows.select("doc_id", F.round(quality.score(*c, F.lit(0)), 6).alias("score"), quality.gate(*c, F.lit(0), F.col("script"), F.lit(0)).alias("g"))
     return made.select("doc_id", "score", "g.escalate_to", "g.trigger", "g.unrecoverable")
 
 

@@ -55,6 +55,9 @@ def test_text_quality_against_plain_python(spark):
     )
     for r in df.collect():
         assert list(r)[1:] == pytest.approx(slow_quality(r[0])), r[0]
+    names = ["t", "n_tokens", "script_validity", "vowel_rate", "function_words", "repetition", "plausibility", "bad_chars"]
+    for r in quality.measure(df.select("t"), "t").select(*names).collect():
+        assert list(r)[1:] == pytest.approx(slow_quality(r[0])), r[0]
 
 
 @pytest.mark.parametrize(
