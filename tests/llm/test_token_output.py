@@ -57,7 +57,7 @@ def test_odd_texts_and_small_segments(spark, monkeypatch):
     texts = [None, "", " ", "  a", "a  b", "a \n b", "a\n \nb c", " a", "a ", "it's <|endoftext|> x", "  y  z", "tab\t x", "x\x1f y", "I 'm  ", "é 世界 🙂 ok", "one two three " * 2000]
     docs = [(i * 3 - 7, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("start", df_lit()).repartition(3)
-    files = token_output.write(df, Scratch(spark, "t"), size=700)
+    files = token_output.write(df, Scratch(spark, "t"), size=20)
     assert files.count() > 2
     rows = token_output.read(files).collect()
     check(rows, docs)
