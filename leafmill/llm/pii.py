@@ -1,12 +1,15 @@
 """Personal data: rules, high-recall generators and boosted trees, all in SQL.
 
 Four strict patterns with validity checks give the base spans.  Wider patterns
-propose further, overlapping candidates.  Boosted depth-two trees score them by
-format and context alone.  Their examples are the corpus's own strict matches:
-those that pass their check against those that fail it, and wider candidates
-that overlap either.  Each kind has a threshold, calibrated for precision on
-the half of the documents that the trees have not seen; candidates beyond it
-that touch no base span are added, the likeliest of each overlapping group.
+propose further, overlapping candidates.  Each kind has boosted depth-two trees
+that score them by format and context alone.  Their examples are the corpus's
+own matches: strict ones that pass their check against those that fail it, and
+wider ones outside base spans by their own check, which may also leave open what
+they are.  Each wider pattern has a threshold, calibrated for precision on the
+half of the documents that the trees have not seen.  Candidates from it on that
+fail no check and touch no base span are added, the likeliest of each
+overlapping group.  A pattern without positive examples there has no threshold:
+of its candidates those that pass their check are added.
 
 The text passes through the patterns once.  What goes on is gaps, matches and a
 few characters of context; offsets are running sums over a document's matches.
@@ -93,6 +96,36 @@ def _valid(gen: Column, hit: Column) -> Column:
     )
 
 
+def _check(gen: Column, hit: Column, context: Column) -> Column:
+    """Of wider candidates: whether their own form and context speak for them;
+    null if these leave it open."""
+    digits = F.regexp_replace(hit, "[^0-9]", "")
+    n = F.length(digits)
+    value = F.regexp_replace(hit, "^[^:=]*[:=] ?[\"']?", "")
+    kinds = F.array_distinct(F.split(value, ""))
+    digit, letter = value.rlike("[0-9].*[0-9]"), value.rlike("[A-Za-z]")
+    one_case = ~value.rlike("[0-9]") & ~(value.rlike("[a-z]") & value.rlike("[A-Z]"))
+    elsewhere = context.isin(3, 4, 5)
+    return (
+        F.when(gen == 4, hit.rlike(r"(?i)[\[(]dot[\])] ?[a-z0-9-]*[a-z]{2}|\.[a-z]{2,}$"))
+        .when(gen == 5, F.when(hit.rlike("^[0-9.]+@|@[0-9-]+$"), False).when(context == 1, True))
+        .when(gen == 6, F.when(hit.rlike("^(?:..?:)*..?$"), False).when(hit.rlike("[A-Fa-f]"), True))
+        .when(gen == 7, n.between(12, 19) & ~digits.rlike(r"^(.)\1*$") & _luhn(digits))
+        .when(
+            gen == 8,
+            F.when(~n.between(9, 15) | elsewhere, False).when(
+                (context == 2) | hit.rlike(r"^(?:\(|00)|^[2-9][0-9]{2}[.-][2-9][0-9]{2}[ .-][0-9]{4}$"), True
+            ),
+        )
+        .when(
+            gen == 9,
+            F.when(F.size(kinds) < 6, False)
+            .when(digit & letter, True)
+            .when(one_case & ~hit.rlike("[\"']"), False),
+        )
+    )
+
+
 def _class(ch: Column) -> Column:
     return F.when((F.length(ch) == 0) | ch.rlike(r"^\s$"), 0).when(ch.rlike("^[0-9]$"), 1).when(ch.rlike(r"^\p{L}$"), 2).otherwise(3)
 
@@ -106,7 +139,7 @@ def _context(before: Column) -> Column:
 
 def candidates(df: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(documents, candidates).  Documents: (row, id); candidates: (row, gen,
-    start, end, valid, features).  ``row`` is a number for each row of ``df``,
+    start, end, valid, check, features).  ``row`` is a number for each row of ``df``,
     drawn once and kept."""
     text = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), _MARK, _OTHER)
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
@@ -130,16 +163,18 @@ def candidates(df: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> t
     size = F.length("hit")
     digits = F.length(F.regexp_replace("hit", "[^0-9]", ""))
     marks = F.length(F.regexp_replace("hit", "[A-Za-z0-9]", ""))
+    hits = hits.withColumn("context", _context(F.col("before")))
     hits = hits.select(
         "row",
         "gen",
         "start",
         "end",
         _valid(F.col("gen"), F.col("hit")).alias("valid"),
-        F.least(F.lit(7), F.floor(digits / 3)).cast("int").alias("digits"),
+        _check(F.col("gen"), F.col("hit"), F.col("context")).alias("check"),
+        F.least(F.lit(7), F.ceil(digits / 3)).cast("int").alias("digits"),
         F.least(F.lit(7), F.floor(size / 6)).cast("int").alias("size"),
         F.least(F.lit(3), F.floor(marks / 2)).cast("int").alias("marks"),
-        _context(F.col("before")).cast("int").alias("context"),
+        F.col("context").cast("int").alias("context"),
         _class(F.substring(F.col("before"), -1, 1)).cast("int").alias("before"),
         _class(F.col("after")).cast("int").alias("after"),
     )
@@ -151,20 +186,15 @@ def _strict(gen: Column) -> Column:
 
 
 def _neighbours(hits: DataFrame) -> DataFrame:
-    """Adds ``touches``: 2 if a strict valid match overlaps, else 1 if a strict
-    failed one does, else 0.  By running extremes in order of start."""
+    """Adds ``touches``: whether a strict valid match overlaps.  By running
+    extremes in order of start."""
     by = Window.partitionBy("row").orderBy("start", "end", "gen")
     back = by.rowsBetween(Window.unboundedPreceding, -1)
     ahead = by.rowsBetween(1, Window.unboundedFollowing)
-    strict = _strict(F.col("gen"))
-    good, bad = strict & F.col("valid"), strict & ~F.col("valid")
-
-    def meets(which: Column) -> Column:
-        before = F.max(F.when(which, F.col("end"))).over(back) > F.col("start")
-        after = F.min(F.when(which, F.col("start"))).over(ahead) < F.col("end")
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
-
-    return hits.withColumn("touches", F.when(meets(good), 2).when(meets(bad), 1).otherwise(0))
+    good = _strict(F.col("gen")) & F.col("valid")
+    before = F.max(F.when(good, F.col("end"))).over(back) > F.col("start")
+    after = F.min(F.when(good, F.col("start"))).over(ahead) < F.col("end")
+    return hits.withColumn("touches", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
 
 
 class Trees:
@@ -234,29 +264,41 @@ class Trees:
         return self
 
 
-def _train(hits: DataFrame) -> tuple[Trees, list[float]]:
-    """Trees and, for each kind, the margin from which candidates are taken."""
+def _cuts(seen: list[tuple[float, float, float]]) -> tuple[float, float]:
+    """Of a wider pattern, by (margin, positives, others) of examples: the
+    margins from which candidates that pass their check, and those whose check
+    leaves it open, are taken.  No positives: the check alone decides.  A
+    pattern that is precise enough as a whole loses none that pass."""
+    if not any(p for _, p, _ in seen):
+        return -math.inf, math.inf
+    at: dict[float, list[float]] = {}
+    for m, p, q in seen:
+        sums = at.setdefault(round(m, 9), [0.0, 0.0])
+        sums[0] += p
+        sums[1] += q
+    cut, good, bad = math.inf, 0.0, 0.0
+    for m in sorted(at, reverse=True):
+        good, bad = good + at[m][0], bad + at[m][1]
+        if good >= PRECISION * (good + bad):
+            cut = m - 1e-6
+    return (-math.inf if good >= PRECISION * (good + bad) else cut), cut
+
+
+def _train(hits: DataFrame) -> tuple[list[Trees], dict[int, tuple[float, float]]]:
+    """Trees of each kind and the ``_cuts`` of each wider pattern."""
     names = list(LEVELS)
-    strict = _strict(F.col("gen"))
-    label = (
-        F.when(strict, F.col("valid").cast("int")).when(F.col("touches") == 2, 1).when(F.col("touches") == 1, 0)
-    )
+    label = F.when(_strict(F.col("gen")), F.col("valid")).when(~F.col("touches"), F.col("check")).cast("int")
     half = F.pmod(F.xxhash64("row"), F.lit(2)).alias("half")
-    kind = F.element_at(F.array(*[F.lit(KINDS.index(g[1])) for g in GENERATORS]), F.col("gen") + 1).alias("kind")
-    table = hits.select(*names, label.alias("y"), half, kind).where("y is not null")
-    table = table.groupBy(*names, "kind", "half").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).collect()
+    table = hits.select(*names, label.alias("y"), half).where("y is not null")
+    table = table.groupBy(*names, "half").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).collect()
     table = sorted(table, key=lambda r: tuple(r))
-    rows = [(tuple(r[n] for n in names), float(r.pos), float(r.n - r.pos), r.half, r.kind) for r in table]
-    trees = Trees().fit([r[:3] for r in rows if r[3] == 0])
-    cuts = []
-    for k in range(len(KINDS)):
-        seen = sorted(((trees.margin(r[0]), r[1], r[2]) for r in rows if r[3] == 1 and r[4] == k), reverse=True)
-        cut, good, bad = 0.0, 0.0, 0.0
-        for m, p, q in seen:
-            good, bad = good + p, bad + q
-            if good >= PRECISION * (good + bad) and good > 0:
-                cut = m
-        cuts.append(cut if seen else 0.0)
+    rows = [(tuple(r[n] for n in names), float(r.pos), float(r.n - r.pos), r.half) for r in table]
+    kinds = [KINDS.index(g[1]) for g in GENERATORS]
+    trees = [Trees().fit([r[:3] for r in rows if r[3] == 0 and kinds[r[0][0]] == k]) for k in range(len(KINDS))]
+    cuts = {}
+    for g, (_, _, _, strict) in enumerate(GENERATORS):
+        if not strict:
+            cuts[g] = _cuts([(trees[kinds[g]].margin(r[0]), r[1], r[2]) for r in rows if r[3] == 1 and r[0][0] == g])
     return trees, cuts
 
 
@@ -273,10 +315,14 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     hits = scratch.keep(_neighbours(hits), "touching")
     trees, cuts = _train(hits)
     kind = F.element_at(F.array(*[F.lit(KINDS.index(g[1])) for g in GENERATORS]), F.col("gen") + 1)
-    scored = hits.select("row", "start", "end", "gen", "valid", "touches", kind.alias("kind"), trees.column(list(LEVELS)).alias("margin"))
+    margin, cut = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for k, t in enumerate(trees):
+        margin = F.when(kind == k, t.column(list(LEVELS))).otherwise(margin)
+    for g, (passed, left_open) in cuts.items():
+        cut = F.when(F.col("gen") == g, F.when(F.col("check"), F.lit(passed)).when(F.col("check").isNull(), F.lit(left_open))).otherwise(cut)
+    scored = hits.select("row", "start", "end", "gen", "valid", "touches", kind.alias("kind"), margin.alias("margin"), cut.alias("cut"))
     base = scored.where(_strict(F.col("gen")) & F.col("valid")).withColumn("origin", F.lit(0))
-    cut = F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), F.col("kind") + 1)
-    more = scored.where(~_strict(F.col("gen")) & (F.col("touches") < 2) & (F.col("margin") >= cut))
+    more = scored.where(~_strict(F.col("gen")) & ~F.col("touches") & (F.col("margin") >= F.col("cut")))
     by = Window.partitionBy("row").orderBy("start", "end", "gen")
     fresh = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
     more = more.withColumn("group", F.sum(fresh.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))

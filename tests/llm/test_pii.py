@@ -91,3 +91,34 @@ def test_trees_learn():
     rows = [((g, d, 0, 0, c, 0, 0), float(10 * (c == 2 and d > 3)), 10.0 - 10 * (c == 2 and d > 3)) for g in range(3) for d in range(8) for c in range(3)]
     trees = pii.Trees().fit(rows)
     assert all((trees.margin(x) > 0) == (p > n) for x, p, n in rows)
+
+
+def test_planted_secrets_spelt_mails_and_local_phones(spark):
+    rng = random.Random(5)
+    code = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows, want = [], {}
+    for i in range(120):
+        plain = f"page {rng.randint(10, 99)} of 12 34, {rng.randint(100, 999)} parts; token = get_token_from_text and key: {'x' * 20} end"
+        hit = [f'token = "{code(40)}', f"joe{i} [at] site [dot] org", f"(202) 555-0{100 + i}", None][i % 4]
+        rows.append((i, f"{plain} so {hit} end" if hit else plain))
+        if hit:
+            at = rows[-1][1].index(hit)
+            want[i] = (("secret", "email", "phone")[i % 4], at, at + len(hit))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs in (df, df.where("doc_id < 3")):  # many examples, and too few to learn from
+        for r in pii.find(docs).collect():
+            assert [(s.name, s.start, s.end) for s in r.added] == ([want[r.doc_id]] if r.doc_id in want else []), r
+
+
+def test_wider_checks(spark):
+    cases = [
+        (9, "token = 0a1b2c3d4e5f6a7b", 0, True), (9, "token = get_token_from_env", 0, False), (9, "key: xxxxxxxxxxxxxxxx", 0, False),
+        (4, "a [at] b [dot] org", 0, True), (4, "look (at) me. Then", 0, False), (7, "4111.1111.1111.1111", 0, True), (7, "4111.1111.1111.1112", 0, False),
+        (8, "(202) 555-0143", 0, True), (8, "202-555-0143", 0, True), (8, "111-111-1111", 0, None), (8, "111-111-1111", 2, True), (8, "111-111-1111", 3, False),
+        (5, "root@host", 1, True), (5, "root@host", 0, None), (5, "1@2", 1, False), (6, "2001:db8:0:0:0:0:0:1", 0, True), (6, "00:11:22:33:44:55:66:77", 0, False),
+    ]
+    df = spark.createDataFrame(cases, "gen int, hit string, context int, want boolean")
+    for r in df.withColumn("got", pii._check(df.gen, df.hit, df.context)).collect():
+        assert r.got == r.want, r
+    assert pii._cuts([]) == pii._cuts([(1.0, 0.0, 9.0)]) == (-float("inf"), float("inf"))
+    assert pii._cuts([(2.0, 9.0, 0.0), (1.0, 0.0, 9.0)])[0] == pii._cuts([(2.0, 9.0, 0.0), (1.0, 0.0, 9.0)])[1] == 2.0 - 1e-6
