@@ -7,8 +7,8 @@ own matches: strict ones that pass their check against those that fail it, and
 wider ones outside base spans by their own check, which may also leave open what
 they are.  Each wider pattern has a threshold, calibrated for precision on the
 half of the documents that the trees have not seen.  Candidates from it on that
-fail no check and touch no base span are added, the likeliest of each
-overlapping group.  A pattern without positive examples there has no threshold:
+fail no check and touch no base span are added, the likeliest first
+and none that overlaps one already added.  A pattern without positive examples there has no threshold:
 of its candidates those that pass their check are added.
 
 The text passes through the patterns once.  What goes on is gaps, matches and a
@@ -302,6 +302,23 @@ def _train(hits: DataFrame) -> tuple[list[Trees], dict[int, tuple[float, float]]
     return trees, cuts
 
 
+def _apart(more: DataFrame) -> DataFrame:
+    """Of (row, start, end, gen, kind, margin) the likeliest first, without those
+    that overlap one already taken.  Lists are unbroken chains of overlaps."""
+    by = Window.partitionBy("row").orderBy("start", "end", "gen")
+    fresh = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
+    more = more.withColumn("group", F.sum(fresh.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct((-F.col("margin")).alias("less"), (F.col("start") - F.col("end")).alias("short"), "start", "gen", "end", "kind")
+    chain = more.groupBy("row", "group").agg(F.array_sort(F.collect_list(place)).alias("chain"))
+
+    def step(taken: Column, x: Column) -> Column:
+        met = F.exists(taken, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"]))
+        return F.when(met, taken).otherwise(F.concat(taken, F.array(x)))
+
+    taken = F.aggregate("chain", F.filter("chain", lambda _: F.lit(False)), step)
+    return chain.select("row", F.explode(taken).alias("x")).select("row", "x.start", "x.end", "x.gen", "x.kind")
+
+
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, added) for each row: arrays of (start, kind, end, name) in
     order of start, then kind.
@@ -323,11 +340,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     scored = hits.select("row", "start", "end", "gen", "valid", "touches", kind.alias("kind"), margin.alias("margin"), cut.alias("cut"))
     base = scored.where(_strict(F.col("gen")) & F.col("valid")).withColumn("origin", F.lit(0))
     more = scored.where(~_strict(F.col("gen")) & ~F.col("touches") & (F.col("margin") >= F.col("cut")))
-    by = Window.partitionBy("row").orderBy("start", "end", "gen")
-    fresh = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
-    more = more.withColumn("group", F.sum(fresh.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    first = Window.partitionBy("row", "group").orderBy(F.desc("margin"), F.desc(F.col("end") - F.col("start")), "start", "gen")
-    more = more.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "group").withColumn("origin", F.lit(1))
+    spot = ("row", "start", "end", "kind")
+    base, more = base.select(*spot, "origin"), _apart(more).select(*spot).withColumn("origin", F.lit(1))
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     span = F.struct("start", "kind", "end", name.alias("name"))
     spans = base.unionByName(more).groupBy("row").agg(

@@ -122,3 +122,21 @@ def test_wider_checks(spark):
         assert r.got == r.want, r
     assert pii._cuts([]) == pii._cuts([(1.0, 0.0, 9.0)]) == (-float("inf"), float("inf"))
     assert pii._cuts([(2.0, 9.0, 0.0), (1.0, 0.0, 9.0)])[0] == pii._cuts([(2.0, 9.0, 0.0), (1.0, 0.0, 9.0)])[1] == 2.0 - 1e-6
+
+
+def test_apart_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(0, 0, 10, 4, 0, 1.0), (0, 8, 20, 5, 0, 2.0), (0, 18, 30, 7, 2, 1.5), (1, 0, 10, 4, 0, 2.0), (1, 8, 20, 5, 0, 1.0), (1, 18, 30, 7, 2, 1.5)]
+    for r in range(2, 60):
+        for g in range(4, 10):
+            at = 0
+            for _ in range(rng.randint(0, 4)):
+                at += rng.randint(0, 9)
+                rows.append((r, at, at := at + rng.randint(1, 12), g, 0, float(rng.randint(-2, 2))))
+    want = set()
+    for x in sorted(rows, key=lambda x: (x[0], -x[5], x[1] - x[2], x[1], x[3])):
+        if all(x[0] != t[0] or x[2] <= t[1] or t[2] <= x[1] for t in want):
+            want.add(x[:4])
+    df = spark.createDataFrame(rows, "row long, start int, end int, gen int, kind int, margin double")
+    got = [tuple(r) for r in pii._apart(df).select("row", "start", "end", "gen").collect()]
+    assert sorted(got) == sorted(want) and {x for x in want if x[0] == 1} == {(1, 0, 10, 4), (1, 18, 30, 7)}
