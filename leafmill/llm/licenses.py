@@ -9,6 +9,10 @@ file's.  A file that opens with its statement, or is named like one, is its
 directory's license file.  Files without a license of their own take that of
 the nearest directory above that has one, by joining the paths of all their
 ancestors.  Everything is DataFrame functions.
+
+Beside statements, blocks are compared with whole license texts and headers:
+the file, its comments and its paragraphs with their lines joined, and with
+titles its first lines.  SPDX expressions are taken as they stand.
 """
 
 from __future__ import annotations
@@ -48,6 +52,73 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "No license is granted."),
 )
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions:"
+)
+_MIT_REST = (
+    " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+    "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+    "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission. "
+)
+_BSD_REST = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free "
+    "Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope that "
+    "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+    "the GNU {} for more details."
+)
+_GNU = (("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3"))
+BODIES = (
+    ("MIT", _MIT), ("MIT", _MIT + _MIT_REST), ("BSD-2-Clause", _BSD + _BSD_REST), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_REST),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+     "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+     "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+     "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+     "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+     "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+     "implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+     "this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((k, _GPL.format(name, v, name)) for k, name, v in _GNU),
+)
+TITLES = (
+    ("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"), ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"), ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+)
+#: Every body and title has one of these words, and texts without any have no blocks.
+ANCHORS = r"(?i)licen[sc]e|spdx|hereby|redistribut"
+SPDX = r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)"
+TITLE_THRESHOLD = 0.9
+#: Stands for a block, which may be long, beside each of its tokens.
+KEY = "sha2(said, 256)"
+#: A block of more characters has too many other words for any body.
+LONGEST = 20_000
 THRESHOLD = 0.75
 #: A file whose license is among so many first lines or sentences opens with it.
 OPENING = 2
@@ -60,17 +131,17 @@ def _tokens(line: str) -> list[str]:
     return _TOKEN.findall(line.lower())
 
 
-def template_vectors() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+def template_vectors(templates: tuple = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template number, license, token, weight over the vector's length), the
     tokens' IDF, and the IDF of a token that no template has."""
-    lists = [Counter(_tokens(t)) for _, t in TEMPLATES]
+    lists = [Counter(_tokens(t)) for _, t in templates]
     n = len(lists)
     df = Counter(w for c in lists for w in c)
     idf = {w: round(math.log((1 + n) / (1 + k)) + 1, 9) for w, k in df.items()}
     rows = []
     for i, c in enumerate(lists):
         length = math.sqrt(sum((k * idf[w]) ** 2 for w, k in c.items()))
-        rows += [(i, TEMPLATES[i][0], w, round(k * idf[w] / length, 9)) for w, k in sorted(c.items())]
+        rows += [(i, templates[i][0], w, round(k * idf[w] / length, 9)) for w, k in sorted(c.items())]
     return rows, idf, round(math.log(1 + n) + 1, 9)
 
 
@@ -84,22 +155,42 @@ def statements(text: Column) -> Column:
     )
 
 
-def classify_statements(said: DataFrame) -> DataFrame:
-    """(said, license, score) of each distinct statement that any template fits."""
+def blocks(text: Column) -> Column:
+    """Array of (kind, at, said): 1 a block for the bodies, 2 one for the titles,
+    3 an SPDX expression.  ``at`` is 0 for the file and its first lines."""
+    cut = F.filter(F.split(text, r"\n"), lambda x: F.trim(x) != "")
+    bare = lambda x: F.trim(F.regexp_replace(x, r"(?m)^[ \t]*+(?:/\*++|\*++/?|//++|#++|--++|;++|%++|<!--)?+[ \t]*+|\*/|-->|\s++", " "))
+    as_block = lambda kind, at: lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(at).alias("at"), x.alias("said"))
+    runs = F.regexp_extract_all(text, F.lit(r"(?m)(?:^[ \t]*+(?://|#|\*|/\*|--|;|%)[^\n]*+\n?+)++"), F.lit(0))
+    comments = F.regexp_extract_all(text, F.lit(r"(?s)(?:/\*.*?\*/|<!--.*?-->)"), F.lit(0))
+    paragraphs = F.split(text, r"\n[ \t\r]*\n")
+    short = lambda a: F.filter(a, lambda x: (F.length(x) <= LONGEST) & x.rlike(ANCHORS))
+    first = F.slice(cut, 1, 2)
+    return F.concat(
+        F.transform(short(F.transform(F.array(text), bare)), as_block(1, 0)),
+        F.transform(short(F.transform(F.concat(runs, comments, paragraphs), bare)), as_block(1, OPENING)),
+        F.transform(short(F.transform(F.concat(first, F.array(F.array_join(first, " "))), bare)), as_block(2, 0)),
+        F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), as_block(3, OPENING)),
+    )
+
+
+def classify_statements(said: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, key: str = "said") -> DataFrame:
+    """(said, license, score) of each distinct statement that any template fits.
+    ``said`` is then the ``key``; copies only lengthen a vector."""
     spark: SparkSession = said.sparkSession
-    rows, idf, other = template_vectors()
+    rows, idf, other = template_vectors(templates)
     vectors = spark.createDataFrame(rows, "n int, license string, token string, weight double")
     weights = spark.createDataFrame(list(idf.items()), "token string, idf double")
     low = F.translate(F.col("said"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_extract_all(low, F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
-    tf = said.select("said", F.explode(words).alias("token")).groupBy("said", "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = said.select(F.expr(key).alias("said"), F.explode(words).alias("token")).groupBy("said", "token").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.join(F.broadcast(weights), "token", "left")
     tf = tf.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     size = tf.groupBy("said").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     dots = tf.join(F.broadcast(vectors), "token").groupBy("said", "n", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosine = dots.join(size, "said").select("said", "license", F.round(F.col("dot") / F.col("size"), 6).alias("score"))
     best = F.max(F.struct(F.col("score"), F.col("license"))).alias("b")
-    return cosine.where(F.col("score") >= THRESHOLD).groupBy("said").agg(best).select("said", "b.license", "b.score")
+    return cosine.where(F.col("score") >= threshold).groupBy("said").agg(best).select("said", "b.license", "b.score")
 
 
 def directory(path: Column) -> Column:
@@ -125,12 +216,20 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{path_col}`").cast("string").alias("path"),
         F.when(text.rlike(MENTION), statements(text)).alias("found"),
+        F.when(text.rlike(ANCHORS), blocks(text)).alias("blocks"),
     )
     rows = scratch.keep(rows, "statements")
     listed = rows.where(F.size("found") > 0).select("row", "path", F.explode("found").alias("s")).select("row", "path", "s.*")
     kinds = scratch.keep(classify_statements(listed.select("said").distinct()), "kinds")
+    parts = rows.where(F.size("blocks") > 0).select("row", "path", F.explode("blocks").alias("s")).select("row", "path", "s.*")
+    of = lambda k: parts.where(F.col("kind") == k).drop("kind")
+    bodies = scratch.keep(classify_statements(of(1).select("said"), BODIES, key=KEY), "bodies")
+    titles = scratch.keep(classify_statements(of(2).select("said"), TITLES, TITLE_THRESHOLD, KEY), "titles")
+    keyed = lambda k: of(k).withColumn("said", F.expr(KEY))
+    named_all = listed.join(kinds, "said").unionByName(keyed(1).join(bodies, "said")).unionByName(keyed(2).join(titles, "said"))
+    named_all = named_all.unionByName(of(3).withColumn("license", F.col("said")).withColumn("score", F.lit(1.0)))
     best = F.max(F.struct("score", "license", (-F.col("at")).alias("at"))).alias("b")
-    own = listed.join(kinds, "said").groupBy("row", "path").agg(best)
+    own = named_all.groupBy("row", "path").agg(best)
     own = own.select("row", "path", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"), (F.col("b.at") > -OPENING).alias("opens"))
     named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
     own = scratch.keep(own.withColumn("is_license_file", (F.col("opens") | named) & F.col("path").isNotNull()).drop("opens"), "own")

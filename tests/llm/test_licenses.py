@@ -56,3 +56,21 @@ def test_nearest_ancestor_and_odd_rows(spark):
     assert lic.scan(df).count() == len(rows) and lic.scan(df.limit(0)).count() == 0
     none = lic.scan(df.where("doc_id = 8"))
     assert [r.license for r in none.collect()] == [None, None]
+
+
+def test_whole_texts_titles_headers_and_expressions(spark):
+    body = dict(lic.BODIES)
+    wrap = lambda text, lead="": "\n".join(lead + " ".join(text.split()[i : i + 11]) for i in range(0, len(text.split()), 11))
+    years = "Copyright (c) 2020 A. Person\n\n"
+    rows = [
+        ("a/LICENSE", f"MIT License\n\n{years}{wrap(body['MIT'])}", "MIT"), ("a/x.py", "code", "MIT"),
+        ("b/x", years + wrap(body["MIT"]), "MIT"), ("c/x", years + wrap(body["BSD-3-Clause"]), "BSD-3-Clause"), ("d/x", years + wrap(body["BSD-2-Clause"]), "BSD-2-Clause"),
+        ("e/COPYING", "   GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nPreamble " + "of other words " * 9000, "GPL-3.0"), ("e/f/g", "z", "GPL-3.0"),
+        ("h/x.py", wrap(body["Apache-2.0"], "# ") + "\nimport os\n" + "code here = 1\n" * 300, "Apache-2.0"), ("h/y.py", "code", None),
+        ("i/x.c", "int a;\n/*\n" + wrap(body["GPL-2.0"]) + "\n*/\n" + "int b;\n" * 300, "GPL-2.0"),
+        ("j/x.rs", "// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main() {}", "MIT OR Apache-2.0"), ("k/x", "// SPDX-License-Identifier: EUPL-1.2", "EUPL-1.2"),
+        ("l/x", "the license of a driver was lost and hereby we redistribute the news\n" * 40, None), ("m/x", "The MIT License (MIT)\n\nand more", "MIT"),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in lic.scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, _, want in rows]
