@@ -21,13 +21,20 @@ import numpy as np
 MAGIC = b"LMRANS01"
 BLOCK = 1 << 14
 LANES = 32
+#: Ids below this are counted and looked up by tables, others by sorting.
+DENSE = 1 << 22
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<5I")
 
 
 def table(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """(bits, symbols, frequencies): counts scaled to sum to 2**bits, none to 0."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if ids.max() < DENSE:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     bits = max(12, int(len(symbols) - 1).bit_length() + 2)
     if bits > 24:
         raise ValueError("a segment has too many different ids")
@@ -53,11 +60,12 @@ def encode(ids: np.ndarray) -> bytes:
     blocks = -(-n // BLOCK)
     steps = -(-min(n, BLOCK) // LANES)
     padded = np.full(blocks * steps * LANES, np.argmax(freqs), np.int64)
-    at = np.searchsorted(symbols, ids)
-    if blocks == 1:
-        padded[:n] = at
+    if symbols[-1] < DENSE:
+        places = np.zeros(int(symbols[-1]) + 1, np.int32)
+        places[symbols] = np.arange(len(symbols))
+        padded[:n] = places[ids]  # of several blocks, steps * LANES is BLOCK
     else:
-        padded[:n] = at  # steps * LANES is BLOCK
+        padded[:n] = np.searchsorted(symbols, ids)
     grid = padded.reshape(blocks, steps, LANES)
     wide = freqs.astype(np.uint64)
     base = np.cumsum(wide) - wide

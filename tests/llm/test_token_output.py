@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -67,6 +68,32 @@ def test_odd_texts_and_small_segments(spark, monkeypatch):
     assert token_output.token_output(df.limit(0)).count() == 0
 
 
+PIECES = [" ", " ", " ", "\n", "\t", "\r", "'", "s", "ll", "re", "a", "Z", "é", "×", "÷", "ß", "ł", "1", "23", "!", "-", "<|endoftext|>", "\xa0", "\u2003",
+          "\x1f", "\x85", "世", "я", "²", "ª", "»", "\u0301", "🙂", "\u200b", "\x0b", "\x0c", "\u3000", "...", "$", "\x00", "\u01c5"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_texts_of_odd_pieces(seed, monkeypatch):
+    monkeypatch.setattr(token_output, "REMEMBERED", [0, 500, 1 << 20][seed])
+    rng = np.random.default_rng(seed)
+    encode, tok = token_output.Encoder(token_output.TOKENIZER), Tokenizer.from_file(token_output.TOKENIZER)
+    for _ in range(4):
+        texts = ["".join(rng.choice(PIECES, rng.integers(0, 14))) for _ in range(2000)]
+        ids, counts = encode(pa.array([None, *texts, ""])[1:], 0)
+        ends = np.cumsum(counts)
+        for t, start, stop in zip([*texts, ""], ends - counts, ends, strict=True):
+            assert ids[start:stop].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0], t
+
+
+def test_tokenizers_that_are_not_cut():
+    path = token_output.public_tokenizers.path("word_bpe_49k.json")
+    encode, tok = token_output.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Two words", None, "", "it's 3 o'clock\n\nÉté"]
+    ids, counts = encode(pa.array(texts), 7)
+    assert ids.tolist() == [x for t in texts for x in [*tok.encode(t or "", add_special_tokens=False).ids, 7]]
+    assert counts.sum() == len(ids)
+
+
 def df_lit():
     from pyspark.sql import functions as F
 
