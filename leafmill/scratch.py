@@ -1,32 +1,50 @@
 """Tables that cut lineage, in the folder that all machines of a cluster share.
 
 The folder is the session's ``spark.checkpoint.dir``.  Where that setting is
-absent (tests, notebooks on one machine) a folder of this process is used.
+absent a session on one machine uses its warehouse, which it shares with
+itself; a session on a cluster is asked to name a folder.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_fallback: dict[str, str] = {}
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch that goes to a Python worker while a table is written.
+BATCH_BYTES = 4 << 20
 _open: list["Scratch"] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="leafmill-")
-    return f"file://{_fallback[app]}"
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    return found.rstrip("/")
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a plan runs, Arrow batches hold some ``BATCH_BYTES``, so that long
+    texts do not fill a worker's memory."""
+    before = spark.conf.get(_BATCH_SETTING, None)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_SETTING)
+        else:
+            spark.conf.set(_BATCH_SETTING, before)
 
 
 class Scratch:
@@ -44,7 +62,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", compression).parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
