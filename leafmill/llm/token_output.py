@@ -10,6 +10,7 @@ read back, checked and decoded by itself.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,11 +31,12 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 SEGMENT_IDS = 1 << 20
 #: Text that is cut and encoded at a time; a longer one goes alone.
-PIECE_BYTES = 8 << 20
-#: Different parts that go to the library in one string.
+PIECE_BYTES = 2 << 20
+#: Different parts that go to the library in one string, and strings in a call.
 TOGETHER = 256
+STRINGS = 16
 #: Parts whose ids a worker remembers, some 30 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _SPACE, _BREAK, _LETTER, _DIGIT, _QUOTE, _MARK, _OTHER, _ODD = range(8)
 #: Parts that may stand in a list of lines: a space at most, then neither white
 #: space nor a character that might be taken for some.
@@ -113,6 +115,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core, and each thread holds memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -132,7 +135,10 @@ class Encoder:
         self.known_ids, self.known_sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), STRINGS):
+            out += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[at : at + STRINGS], add_special_tokens=False)]
+        return out
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end``; their numbers)."""
