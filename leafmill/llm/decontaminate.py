@@ -106,7 +106,7 @@ def _segments(size: int):
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SEGMENT_BYTES) -> DataFrame:
     """Segments of the index over all rows.  Null texts are documents without
     words, null and repeated ids are kept as they are."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(_segments(size), index_schema(rows.schema["id"].dataType))
 
 
@@ -322,7 +322,7 @@ def contamination(
     )
     passes: list[DataFrame] = []
     held: dict[tuple[bytes, ...], set[str]] = {}
-    for row in benchmark.select(item_col, item_text_col).toLocalIterator():
+    for row in benchmark.select(F.col(f"`{item_col}`"), F.col(f"`{item_text_col}`")).toLocalIterator():
         text = None if row[1] is None else str(row[1]).encode()
         for window, names in windows([(row[0], text)], width).items():
             held.setdefault(window, set()).update(names)

@@ -6,7 +6,7 @@ the share of good documents, from grouped sums of the documents' evidence.  The
 priors' strengths come from the spread between groups (method of moments), so a
 sparse path is drawn to its host and a sparse host to the whole corpus.  The
 final probability multiplies the document's likelihood ratio with the odds of
-its path.
+its path, both without the document itself, so that it votes once.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.llm.joins import join_groups
 from leafmill.scratch import Scratch
 
 #: Labelled documents that the text model is fitted on, at most.
@@ -53,23 +54,33 @@ def features(text: bytes | None) -> list[float]:
     ]
 
 
-def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [features(t.as_py()) for t in batch.column(3).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array(rows, pa.list_(pa.float64()))], ["id", "host", "path", "x"]
-        )
+def _feature_batches(text_at: int, kept: int):
+    """The first ``kept`` columns, and the features of column ``text_at``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [features(t.as_py()) for t in batch.column(text_at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:kept], pa.array(rows, pa.list_(pa.float64()))], [*batch.schema.names[:kept], "x"]
+            )
 
-def featured(df: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
+    return run
+
+
+def featured(df: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, whole: bool = False) -> DataFrame:
+    """(id, host, path, x), and if ``whole`` the columns of ``df`` as _0, _1, ..."""
+    text = F.col(f"`{text_col}`").cast("string")
     rows = df.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{host_col}`").cast("string").alias("host"),
         F.col(f"`{path_col}`").cast("string").alias("path"),
-        F.col(f"`{text_col}`").cast("string").alias("text"),
+        *([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(df.columns)] if whole else []),
+        *([] if whole and isinstance(df.schema[text_col].dataType, T.StringType) else [text.alias("text")]),
     )
-    schema = T.StructType([*rows.schema.fields[:3], T.StructField("x", T.ArrayType(T.DoubleType()))])
-    return rows.mapInArrow(_feature_batches, schema)
+    kept = 3 + len(df.columns) * whole
+    text_at = kept if "text" in rows.columns else 3 + df.columns.index(text_col)
+    schema = T.StructType([*rows.schema.fields[:kept], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(_feature_batches(text_at, kept), schema)
 
 
 @dataclass
@@ -119,7 +130,7 @@ def held_out(doc_id) -> bool:
 def train(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, limit: int = TRAIN_ROWS) -> TextModel:
     """Fits on labelled rows of (id, x) outside the held-out fold: those with
     the least hashes of the id, at most ``limit``, and of repeated ids one."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.min("y").alias("y"))
     known = known.where(f"crc32(cast(id as string)) % {FOLDS} <> 0").orderBy(F.xxhash64("id"), "id").limit(limit)
     sample = rows.join(F.broadcast(known), "id").groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y")).orderBy("id").collect()
@@ -145,40 +156,46 @@ def classify(
     label_col: str = "quality",
     threshold: float = THRESHOLD,
     limit: int = TRAIN_ROWS,
+    whole: bool = False,
 ) -> DataFrame:
-    """(id, host, path, evidence, host_rate, path_rate, score, keep) per row.
+    """(id, host, path, evidence, host_rate, path_rate, score, keep) per row,
+    and if ``whole`` the row itself as a struct ``row``.
 
     ``evidence`` is the document's log likelihood ratio, ``host_rate`` and
-    ``path_rate`` are posterior shares of good documents, ``score`` is the
-    final probability.  A null text reads as empty; a null host or path is a
-    group of its own.  Repeated rows come back as often and count as often.
-    Without labels every document keeps the prior of one half and stays.
+    ``path_rate`` are posterior shares of good documents among the others of
+    its host and path, ``score`` is the final probability.  A null text reads
+    as empty; a null host or path is a group of its own.  Repeated rows come
+    back as often and count as often.  Without labels every document keeps the
+    prior of one half and stays.  An empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "quality")
-    rows = scratch.keep(featured(df, id_col, text_col, host_col, path_col), "features")
+    rows = scratch.keep(featured(df, id_col, text_col, host_col, path_col, whole), "features")
     model = train(rows, labels, id_col, label_col, limit)
     base = float(np.log(model.prior / (1 - model.prior)))
     odds = model.log_odds(F.col("x"))
-    scored = rows.select("id", "host", "path", odds.alias("odds"), (1 / (1 + F.exp(-odds))).alias("p"))
+    scored = rows.withColumns({"odds": odds, "p": 1 / (1 + F.exp(-odds))}).drop("x")
 
     # Sums by path, then by host, then of all: each from the one before.
-    paths = scratch.keep(scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n")), "paths")
-    hosts = scratch.keep(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "hosts")
-    whole = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
-    prior = (float(whole.good or 0) + 1) / (float(whole.n or 0) + 2)
-    a = _spread(hosts, F.lit(prior), prior)
-    hosts = hosts.select("host", ((F.col("good") + a * prior) / (F.col("n") + a)).alias("host_rate"))
-    joined = paths.join(hosts, paths.host.eqNullSafe(hosts.host)).drop(hosts.host)
-    b = _spread(joined, F.col("host_rate"), prior)
-    rates = joined.select(
-        F.col("host").alias("h"),
-        F.col("path").alias("p"),
-        "host_rate",
-        ((F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"),
-    )
-    out = scored.drop("p").join(rates, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    sums = scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n"))
+    paths = scratch.keep(sums, "paths")
+    hosts = scratch.keep(paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n")), "hosts")
+    all_ = hosts.agg(F.sum("host_good").alias("good"), F.sum("host_n").alias("n")).first()
+    good, n = float(all_.good or 0), int(all_.n or 0)
+    prior = (good + 1) / (n + 2)
+    a = _spread(hosts.select(F.col("host_good").alias("good"), F.col("host_n").alias("n")), F.lit(prior), prior)
+    paths = scratch.keep(join_groups(paths, hosts, ["host"], "host_n", n), "sums")
+    b = _spread(paths, (F.col("host_good") + a * prior) / (F.col("host_n") + a), prior)
+
+    # A document is judged by the others of its groups: its own share goes.
+    rest = lambda col, own: F.greatest(F.lit(0.0), F.col(col) - own)
+    p = F.col("p")
+    above = (F.lit(good) - p + 1) / (F.lit(float(n)) + 1)
+    host_rate = (rest("host_good", p) + a * above) / (F.col("host_n") - 1 + a)
+    path_rate = (rest("good", p) + b * F.col("host_rate")) / (F.col("n") - 1 + b)
     evidence = F.col("odds") - F.lit(base)
     score = 1 / (1 + F.exp(-(evidence + F.log(F.col("path_rate") / (1 - F.col("path_rate"))))))
+    out = join_groups(scored, paths, ["host", "path"], "n", n)
+    out = out.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate).withColumn("score", score)
     return out.select(
         F.col("id").alias(id_col),
         "host",
@@ -186,8 +203,9 @@ def classify(
         evidence.alias("evidence"),
         "host_rate",
         "path_rate",
-        score.alias("score"),
-        (score >= threshold).alias("keep"),
+        "score",
+        (F.col("score") >= threshold).alias("keep"),
+        *([F.struct(*[F.col(f"_{i}").alias(c) for i, c in enumerate(df.columns)]).alias("row")] if whole else []),
     )
 
 

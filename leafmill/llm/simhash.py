@@ -16,7 +16,7 @@ holds 2^8 fingerprints at most: no group is unbounded and no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.graph import connected_components
+from leafmill.llm.joins import join_groups
 from leafmill.scratch import Scratch
 
 SEED = 42
@@ -66,19 +67,24 @@ def _signed(x: int) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the fingerprint of the first column, the text, in its place."""
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        prints = [_signed(simhash(t.as_py() or b"")) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "fp"])
+        prints = [_signed(simhash(t.as_py() or b"")) for t in batch.column(0).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), *batch.columns[1:]], ["fp", *batch.schema.names[1:]])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for each row; fp is the fingerprint as a signed 64-bit integer.
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Sequence[str] = ()) -> DataFrame:
+    """(fp, id, _0, _1, ...) for each row; fp is the fingerprint as a signed
+    64-bit integer, the rest are the ``extra`` columns.
 
     A null or blank text gives 0.  Repeated rows give repeated results.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())])
+    rows = df.select(
+        F.col(f"`{text_col}`").cast("string").alias("text"),
+        F.col(f"`{id_col}`").alias("id"),
+        *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(extra)],
+    )
+    schema = T.StructType([T.StructField("fp", T.LongType()), *rows.schema.fields[1:]])
     return rows.mapInArrow(_fingerprint_batches, schema)
 
 
@@ -147,7 +153,8 @@ def link_forest(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, bucke
         keys = keys.select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         last = level == LAST_LEVEL
         sizes = keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = scratch.keep(keys.join(sizes, ["t", "key"]), f"shared-{level}")
+        sizes = scratch.keep(sizes, f"sizes-{level}")
+        shared = scratch.keep(join_groups(keys, sizes, ["t", "key"], "n", wanted.count() * per), f"shared-{level}")
         small = shared if last else shared.where(F.col("n") <= bucket)
         lists = small.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
         edges = lists.mapInArrow(_links_batches(radius), "a long, b long")
@@ -165,28 +172,34 @@ def near_duplicates(
     text_col: str = "text",
     radius: int = RADIUS,
     bucket: int = BUCKET,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, fingerprint, component_id) for each row of ``df``.
+    """(id, fingerprint, component_id, group) for each row of ``df``, and its
+    ``extra`` columns.
 
     Rows without words share fingerprint zero and link like any other.
     component_id is the least non-null id that links reach; null if there is
-    none.  Repeated rows come back as often; other columns are not looked at.
-    An empty table gives an empty result.
+    none.  ``group`` is the least fingerprint that they reach, as a signed
+    integer, and tells components apart whatever the ids.  Repeated rows come
+    back as often.  An empty table gives an empty result.
     """
     spark: SparkSession = df.sparkSession
     scratch = Scratch(spark, "simhash")
-    rows = scratch.keep(fingerprints(df, id_col, text_col), "prints")
-    nodes = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    rows = scratch.keep(fingerprints(df, id_col, text_col, extra), "prints")
+    nodes = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     forest = link_forest(nodes.select("fp"), scratch, radius, bucket)
     roots = connected_components(forest, scratch)
     owned = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
     owned = scratch.keep(owned, "owned")
-    best = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = owned.join(best, "root").select("fp", "component_id")
-    return rows.join(labels, "fp").select(
+    best = owned.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    labels = join_groups(owned, scratch.keep(best, "best"), ["root"], "members", owned.count())
+    labels = scratch.keep(labels.select("fp", "n", "component_id", F.col("root").alias("group")), "labels")
+    return join_groups(rows, labels, ["fp"], "n", rows.count()).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
+        "group",
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(extra)],
     )

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import quality as q
+from leafmill.llm.joins import join_groups
 from leafmill.llm.queries import QUERIES
 
 
@@ -30,10 +32,12 @@ def test_rates_by_hand(spark):
     p = {r.doc_id: 1 / (1 + np.exp(-(r.evidence + base))) for r in rows}
     prior = (sum(p.values()) + 1) / (len(p) + 2)
 
-    def strength(groups):  # (parent rate, sum, n)
+    def strength(groups):  # (parent rate, sum, n): spread = v / mean + v / (1 + strength), v = p (1 - p)
         n = sum(g[2] for g in groups)
         spread = sum(g[2] * (g[1] / g[2] - g[0]) ** 2 for g in groups) / n
-        return q._strength(prior, len(groups), n / len(groups), spread)
+        v = prior * (1 - prior)
+        between = spread - v / (n / len(groups))
+        return min(1e4, max(1.0, v / between - 1)) if between > v / 1e4 else 1e4
 
     def sums(key):
         out = {}
@@ -46,13 +50,49 @@ def test_rates_by_hand(spark):
     a = strength([(prior, *v) for v in hosts.values()])
     host = {h: (s + a * prior) / (n + a) for h, (s, n) in hosts.items()}
     b = strength([(host[h], *v) for (h, _), v in paths.items()])
-    for r in rows:
+    for r in rows:  # each by the others of its groups
+        own = p[r.doc_id]
+        others = (sum(p.values()) - own + 1) / (len(p) + 1)
+        s, n = hosts[r.host]
+        above = (s - own + a * others) / (n - 1 + a)
         s, n = paths[r.host, r.path]
-        want = (s + b * host[r.host]) / (n + b)
-        assert r.host_rate == pytest.approx(host[r.host]) and r.path_rate == pytest.approx(want)
+        want = (s - own + b * above) / (n - 1 + b)
+        assert r.host_rate == pytest.approx(above) and r.path_rate == pytest.approx(want)
         assert r.score == pytest.approx(1 / (1 + np.exp(-(r.evidence + np.log(want / (1 - want))))))
 
 
+def test_a_lone_document_is_judged_by_its_host(spark):
+    """Its own evidence must not come back to it through a path of its own."""
+    df = spark.createDataFrame(
+        [(i, "good plain text here " * 3, "h", "en") for i in range(40)] + [(99, "### $$$ @@@ ^^^", "h", "own")],
+        "doc_id long, text string, source string, lang string",
+    )
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(99, 0)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in q.classify(df, labels).collect()}
+    assert rows[99].path_rate == pytest.approx(rows[99].host_rate)
+
+
+def test_whole_rows_and_odd_names(spark):
+    df = spark.createDataFrame(
+        [(1, "a b c", "h", "en", 5, None), (2, None, None, None, None, "x"), (2, None, None, None, None, "x")],
+        "`doc.id` long, text string, source string, lang string, row int, path string",
+    )
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = q.classify(df, labels.withColumnRenamed("doc_id", "doc.id"), "doc.id", whole=True).select("row.*")
+    assert got.schema.names == df.schema.names
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_groups_hot_and_cold(spark):
+    """Null-safe, each row once, whichever way a group is joined."""
+    rows = spark.createDataFrame([(None if i % 7 == 0 else f"k{int(i ** 0.5)}", i) for i in range(200)], "k string, i int")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("i").alias("s"))
+    want = sorted((r.i, r.n, r.s) for r in rows.alias("a").join(groups.alias("b"), F.expr("a.k <=> b.k")).collect())
+    for share in (1, 12, 10_000):
+        got = join_groups(rows, groups, ["k"], "n", 200, share)
+        assert sorted((r.i, r.n, r.s) for r in got.collect()) == want
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame(
         [(1, None, None, None, 1), (2, "", "a", None, 1), (None, "x y", None, "en", 1), (3, "p q", "b", "de", 2), (3, "p q", "b", "de", 2), (4, "z " * 50_000, "a", "fr", 3)],
