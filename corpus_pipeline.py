@@ -11,50 +11,54 @@ from leafmill.scratch import Scratch
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _where(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id has a row in ``verdicts`` (doc_id)."""
-    ids = verdicts.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids["_kept"]), "left_semi")
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """A written copy with a number for each row in ``_row``, so that rows are
+    judged one by one whatever their ids."""
+    return scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` but for those with a ``_row`` in ``gone``, without the number.
+    ``gone`` is written first: its size then tells how to join."""
+    gone = scratch.keep(gone.select("_row"), "gone")
+    return rows.join(gone, "_row", "left_anti").drop("_row")
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects.  Rows of one doc_id
-    stay if any of them is good; null ids count as one id."""
+    """Drops documents that the quality classifier rejects, each row by its own
+    text and groups."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _where(docs, quality.classify(docs, labels).where("keep"))
+    return quality.classify(docs, labels, whole=True).where("keep").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each near-duplicate group,
-    and of repeated rows of that doc_id one."""
-    groups = simhash.near_duplicates(docs)
-    groups = Scratch(spark, "dedup").keep(groups, "groups")
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    once = _where(docs, _without(heads, repeated))
-    again = _where(docs, _where(heads, repeated))
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
-
-
-def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = ids.select(F.col("doc_id").alias("_gone"))
-    return rows.join(ids, rows.doc_id.eqNullSafe(ids["_gone"]), "left_anti")
+    """Keeps one row of each near-duplicate group: that with the least doc_id,
+    null ids last, and of repeated ids any one."""
+    scratch = Scratch(spark, "dedup")
+    rows = _numbered(docs, scratch)
+    groups = scratch.keep(simhash.near_duplicates(rows, extra=["_row"]).select("doc_id", "group", "_row"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    heads = groups.groupBy("group").agg(first).select("first._row")
+    return _without(rows, groups.join(heads, "_row", "left_anti"), scratch)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold passages of the benchmark.  Rows of one doc_id
-    go if any of them does."""
+    """Drops documents that hold passages of the benchmark."""
+    scratch = Scratch(spark, "decontaminated")
+    rows = _numbered(docs, scratch)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contamination(docs, benchmark).where("contaminated"))
+    return _without(rows, decontaminate.contamination(rows, benchmark, id_col="_row").where("contaminated"), scratch)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: each document as often as the mix takes it."""
+    """The mixture: each document as often as the mix takes it.  Null texts
+    have no words, a null source is one of its own and comes last."""
     return mixing.mixed_rows(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes and reads back the ids; a row for each document written."""
+    """Writes and reads back the ids; a row for each document written, repeated
+    rows and null texts included."""
     return token_output.token_output(docs)
 
 
@@ -79,4 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.keep(docs, name)
+            if i:
+                scratch.drop(STAGES[i - 1][0])
     return docs
