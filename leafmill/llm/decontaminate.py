@@ -298,6 +298,7 @@ def contamination(
     item_text_col: str = "text",
     width: int = WINDOW,
     per_pass: int = PHRASES_PER_PASS,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row.
 
@@ -307,8 +308,10 @@ def contamination(
     ``per_pass`` distinct windows, so no broadcast grows beyond that.  Null
     texts have no words; null ids and repeated rows are judged like others.
     Extra columns are not looked at.  Empty tables on either side are fine.
+    The result reads tables in ``scratch``, which the caller may name to drop
+    them.
     """
-    scratch = Scratch(docs.sparkSession, "decontaminate")
+    scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     index = scratch.keep(build_index(docs, id_col, text_col), "index")
     id_type = docs.schema[id_col].dataType
     judged = T.StructType(

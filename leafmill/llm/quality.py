@@ -169,11 +169,12 @@ def classify(
     prior of one half and stays.  An empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "quality")
-    rows = scratch.keep(featured(df, id_col, text_col, host_col, path_col, whole), "features")
+    rows = scratch.keep(featured(df, id_col, text_col, host_col, path_col), "features")
     model = train(rows, labels, id_col, label_col, limit)
     base = float(np.log(model.prior / (1 - model.prior)))
     odds = model.log_odds(F.col("x"))
-    scored = rows.withColumns({"odds": odds, "p": 1 / (1 + F.exp(-odds))}).drop("x")
+    with_odds = {"odds": odds, "p": 1 / (1 + F.exp(-odds))}
+    scored = rows.withColumns(with_odds).drop("x")
 
     # Sums by path, then by host, then of all: each from the one before.
     sums = scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n"))
@@ -194,6 +195,8 @@ def classify(
     path_rate = (rest("good", p) + b * F.col("host_rate")) / (F.col("n") - 1 + b)
     evidence = F.col("odds") - F.lit(base)
     score = 1 / (1 + F.exp(-(evidence + F.log(F.col("path_rate") / (1 - F.col("path_rate"))))))
+    if whole:  # Texts are read again, which is cheaper than a copy of them all.
+        scored = featured(df, id_col, text_col, host_col, path_col, True).withColumns(with_odds).drop("x")
     out = join_groups(scored, paths, ["host", "path"], "n", n)
     out = out.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate).withColumn("score", score)
     return out.select(

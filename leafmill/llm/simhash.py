@@ -22,7 +22,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,6 +173,7 @@ def near_duplicates(
     radius: int = RADIUS,
     bucket: int = BUCKET,
     extra: Sequence[str] = (),
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """(id, fingerprint, component_id, group) for each row of ``df``, and its
     ``extra`` columns.
@@ -181,10 +182,10 @@ def near_duplicates(
     component_id is the least non-null id that links reach; null if there is
     none.  ``group`` is the least fingerprint that they reach, as a signed
     integer, and tells components apart whatever the ids.  Repeated rows come
-    back as often.  An empty table gives an empty result.
+    back as often.  An empty table gives an empty result.  The result reads
+    tables in ``scratch``, which the caller may name to drop them.
     """
-    spark: SparkSession = df.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = scratch or Scratch(df.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(df, id_col, text_col, extra), "prints")
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     forest = link_forest(nodes.select("fp"), scratch, radius, bucket)

@@ -51,3 +51,16 @@ def test_stages_on_odd_rows(spark, sf):
         for _, stage in cp.STAGES:
             assert stage(spark, docs, sf).count() <= 2 * len(rows)
     assert cp.drop_near_duplicates(spark, df, sf).where("doc_id = 2").count() == 1
+
+
+def test_rows_are_judged_one_by_one(spark, sf):
+    """Rows of one id, or without id, share no verdict unless they are equal."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    texts = [item, "plain words that nobody asks for " * 3, "other words of another text and nothing else here", "x y z"]
+    rows = [(i, t, "en", "s", 1) for i in (None, 5) for t in texts for _ in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in cp.drop_contaminated(spark, df, sf).collect()]
+    assert sorted(left, key=repr) == sorted(((i, t) for i, t, *_ in rows if t != item), key=repr)
+    once = [(r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, df, sf).collect()]
+    assert sorted(once) == sorted((5, t) for t in texts)
+    assert sorted(r.text for r in cp.drop_near_duplicates(spark, df.where("doc_id is null"), sf).collect()) == sorted(texts)
