@@ -11,17 +11,18 @@ from leafmill.scratch import Scratch
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """A written copy with a number for each row in ``_row``, so that rows are
-    judged one by one whatever their ids."""
-    return scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+KEY = ("_key", "_key2")
 
 
-def _without(rows: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
-    """``rows`` but for those with a ``_row`` in ``gone``, without the number.
-    ``gone`` is written first: its size then tells how to join."""
-    gone = scratch.keep(gone.select("_row"), "gone")
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with 128 bits of hash of the whole row.  Rows are judged by it
+    one by one, whatever their ids; only equal rows share a key, and a fate."""
+    cells = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumns({k: F.xxhash64(F.lit(i), *cells) for i, k in enumerate(KEY)})
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return _keyed(docs).join(gone, list(KEY), "left_anti").drop(*KEY)
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +34,32 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group: that with the least doc_id,
-    null ids last, and of repeated ids any one."""
-    scratch = Scratch(spark, "dedup")
-    rows = _numbered(docs, scratch)
-    groups = scratch.keep(simhash.near_duplicates(rows, extra=["_row"]).select("doc_id", "group", "_row"), "groups")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
-    heads = groups.groupBy("group").agg(first).select("first._row")
-    return _without(rows, groups.join(heads, "_row", "left_anti"), scratch)
+    null ids last, then the least key; of equal rows one."""
+    scratch, work = Scratch(spark, "dedup"), Scratch(spark, "simhash")
+    found = simhash.near_duplicates(_keyed(docs), extra=KEY, scratch=work)
+    groups = found.groupBy("group", F.col("doc_id").isNull().alias("last"), "doc_id", *KEY).agg(F.count(F.lit(1)).alias("n"))
+    groups = scratch.keep(groups, "groups")
+    work.drop()
+    first = F.min(F.struct("last", "doc_id", *KEY)).alias("first")
+    heads = scratch.keep(groups.groupBy("group").agg(first).select("first.*").join(groups.select(*KEY, "n"), list(KEY)).select(*KEY, "n"), "heads")
+    others = groups.select(*KEY).join(heads, list(KEY), "left_anti")
+    repeated = heads.where("n > 1").select(*KEY)
+    gone = scratch.keep(others.unionByName(repeated), "gone")
+    kept = _without(docs, gone)
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(_keyed(docs).join(repeated, list(KEY), "left_semi").dropDuplicates(list(KEY)).drop(*KEY))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold passages of the benchmark."""
-    scratch = Scratch(spark, "decontaminated")
-    rows = _numbered(docs, scratch)
+    scratch, work = Scratch(spark, "decontaminated"), Scratch(spark, "decontaminate")
+    rows = _keyed(docs).withColumn("key", F.struct(*KEY))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(rows, decontaminate.contamination(rows, benchmark, id_col="_row").where("contaminated"), scratch)
+    found = decontaminate.contamination(rows, benchmark, id_col="key", scratch=work)
+    gone = scratch.keep(found.where("contaminated").select("key.*").distinct(), "gone")
+    work.drop()
+    return _without(docs, gone)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
