@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a multivariate-hypergeometric tree.
 
-Every source is cut into blocks by a seeded hash of its rows.  A source whose
-target is r times its size takes whole passes over its blocks and, for the rest
-of r, a further pass over the first blocks of a random order, until the next
-block would exceed the target.  That last block is opened: its rows are taken
-in hash order, found by ever finer histograms rather than by sorting, so the
-words taken meet the target to within a document.
+Every source is cut into blocks of about equal size by the leading bits of a
+seeded hash of its rows.  A source whose target is r times its size takes whole
+passes over its blocks and, for the rest of r, a further pass over the first
+blocks of a random order, until the next block would exceed the target.  That
+last block is opened: its rows are taken in hash order, found by ever finer
+histograms rather than by sorting, so the words taken meet the target to within
+a document.
 
 The block draws of all sources form one urn.  A binary tree over the output
 shards splits it: each node draws from a multivariate hypergeometric law how
@@ -19,23 +20,26 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leafmill.scratch import Scratch
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-SHARDS = 64
 SEED = 17
-#: Rows of a histogram, of all sources together, that the driver reads at once.
+#: Words of an output shard, and how many shards there are at most; of larger
+#: mixtures the shards are larger.
+SHARD_WORDS = 1 << 22
+MOST_SHARDS = 1 << 16
+#: Blocks of all sources together, about; the driver holds some numbers for
+#: each, and for each source.
 HISTOGRAM = 1 << 17
-#: Rows of an opened block that are weighed one by one.
+#: Rows of an opened part of a block that are weighed one by one.
 OPEN_ROWS = 256
-#: Rows of a block, about, in sources that have too few for all bins.
+#: Rows of a block, about, in sources that have too few for more.
 BLOCK_ROWS = 64
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,22 +85,22 @@ def split_tree(quotas: Sequence[int], shards: int, rng: np.random.Generator) ->
 class Plan:
     """What of each source is taken, and to which shards its blocks go."""
 
-    def __init__(self, sources: list, sizes: list[int], wanted: list[float], bits: int):
+    def __init__(self, sources: list, sizes: list[int], wanted: list[float], bits: list[int]):
         self.sources, self.sizes, self.wanted, self.bits = sources, sizes, wanted, bits
         self.passes = [int(t // s) if s else 0 for s, t in zip(sizes, wanted, strict=True)]
-        self.runs: list[int] = []
-        self.draws: pd.DataFrame | None = None
-        self.opened: pd.DataFrame | None = None
+        self.shards = 1
+        self.draws = pa.table({})
+        self.opened = pa.table({})
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    source = F.col(source_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
+    source = F.col(f"`{source_col}`").cast("string")
     return df.select(
-        F.col(id_col).alias("id"),
+        F.col(f"`{id_col}`").alias("id"),
         source.alias("source"),
         word_count(text).alias("size"),
-        _key(F.col(id_col), text, source, seed).alias("key"),
+        _key(F.col(f"`{id_col}`"), text, source, seed).alias("key"),
     )
 
 
@@ -104,9 +108,34 @@ def _key(id_: Column, text: Column, source: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), id_.cast("string"), F.coalesce(text, F.lit("")), source)
 
 
-def _bin(key: Column, done: int, bits: int) -> Column:
+def _leading(bits: str) -> Column:
+    """The first ``bits`` bits of a key, as a number."""
+    return F.expr(f"CASE WHEN {bits} = 0 THEN 0L ELSE shiftrightunsigned(key, 64 - {bits}) END")
+
+
+def _next(done: str, bits: int) -> Column:
     """The ``bits`` bits of a key that follow the first ``done``."""
-    return F.shiftrightunsigned(F.shiftleft(key, done), 64 - bits).cast("long")
+    return F.expr(f"shiftrightunsigned(shiftleft(key, {done}), {64 - bits})")
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= HISTOGRAM else rows
+
+
+def _by_source(rows: DataFrame, spark: SparkSession, made: Plan, **columns: Sequence) -> DataFrame:
+    """``rows`` with the number of their source and these columns of it."""
+    kinds = {"name": pa.string(), "n": pa.int32(), "bits": pa.int32()}
+    values = {"name": made.sources, "n": list(range(len(made.sources))), "bits": made.bits}
+    table = pa.table({**{k: pa.array(v, kinds[k]) for k, v in values.items()}, **columns})
+    info = _small(spark.createDataFrame(table), len(made.sources))
+    return rows.join(info, rows.source.eqNullSafe(info["name"])).drop("name")
+
+
+def block_bits(rows: int, size: int, total: int) -> int:
+    """Leading bits that tell a source's blocks apart: by its share of all
+    words, but some rows in each block."""
+    most = min(HISTOGRAM * size / max(1, total), rows / BLOCK_ROWS)
+    return min(32, int(math.log2(most))) if most >= 1 else 0
 
 
 def plan(
@@ -114,115 +143,107 @@ def plan(
     weights: Sequence[float] = WEIGHTS,
     share: float = SHARE,
     most: float = MOST,
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = SEED,
 ) -> Plan:
     """Targets, block draws and opened blocks for rows of (source, size, key)."""
     spark = keyed.sparkSession
-    rows = keyed.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    rows = sorted(rows, key=lambda r: (r.source is None, r.source or ""))
+    got = keyed.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
+    rows = sorted(got, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"]) for r in rows]
-    sources = [r.source for r in rows]
     used = [weights[i % len(weights)] for i in range(len(rows))]
-    bits = max(1, min(12, int(math.log2(HISTOGRAM / max(1, len(rows))))))
-    made = Plan(sources, sizes, targets(sizes, used, share, most), bits)
-    number = {s: i for i, s in enumerate(sources)}
-    n_bins = 1 << bits
-    weigh = np.zeros((len(rows), n_bins), np.int64)
-    docs = np.zeros((len(rows), n_bins), np.int64)
-    counted = keyed.groupBy("source", _bin(F.col("key"), 0, bits).alias("bin")).agg(
-        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")
-    )
-    for r in counted.collect():
-        weigh[number[r.source], r.bin], docs[number[r.source], r.bin] = r["size"], r.n
-    # A source's blocks are runs of bins, with some BLOCK_ROWS rows each.
-    made.runs = [max(1, n_bins >> max(0, int(math.log2(max(1, n / BLOCK_ROWS))))) for n in docs.sum(axis=1)]
+    bits = [block_bits(r["n"], r["size"], sum(sizes)) for r in rows]
+    made = Plan([r["source"] for r in rows], sizes, targets(sizes, used, share, most), bits)
+    made.shards = shards or max(1, min(MOST_SHARDS, math.ceil(sum(made.wanted) / SHARD_WORDS)))
+    counted = _by_source(keyed, spark, made).groupBy("n", _leading("bits").alias("block")).agg(F.sum("size").alias("size")).toArrow()
+    weigh = [np.zeros(1 << b, np.int64) for b in bits]
+    for n, block, size in zip(*(counted.column(c).to_pylist() for c in ("n", "block", "size")), strict=True):
+        weigh[n][block] = size
+
     rng = np.random.default_rng(seed)
-    order = [[rng.permutation(n_bins // w) for _ in range(p + 1)] for p, w in zip(made.passes, made.runs, strict=True)]
-    left = [t - p * s for t, p, s in zip(made.wanted, made.passes, sizes, strict=True)]
-    whole, at, pending, small = [], {}, {}, {}
-    for i, w in enumerate(made.runs):
-        last = order[i][-1]
-        run = np.cumsum(weigh[i].reshape(-1, w).sum(axis=1)[last])
-        n = int(np.searchsorted(run, left[i], "right"))
+    order = [[rng.permutation(1 << b) for _ in range(p + 1)] for p, b in zip(made.passes, bits, strict=True)]
+    whole, edge, pending = [], {}, {}
+    for i, b in enumerate(bits):
+        last, left = order[i][-1], made.wanted[i] - made.passes[i] * sizes[i]
+        run = np.cumsum(weigh[i][last])
+        n = int(np.searchsorted(run, left, "right"))
         whole.append(n)
-        if n < len(last) and left[i] > 0:
-            at[i], rest = int(last[n]), left[i] - (int(run[n - 1]) if n else 0)
-            inside = slice(at[i] * w, at[i] * w + w)
-            if docs[i, inside].sum() <= OPEN_ROWS:
-                small[i] = (at[i], rest)
-            else:
-                run = np.cumsum(weigh[i, inside])
-                k = min(int(np.searchsorted(run, rest, "right")), w - 1)
-                pending[i] = (at[i] * w + k, rest - (int(run[k - 1]) if k else 0))
-
-    # Open the block on the edge: finer and finer bins, in key order.
+        if n < len(last) and left > 0:
+            edge[i] = int(last[n])
+            pending[i] = (edge[i], b, left - (int(run[n - 1]) if n else 0))
+    below, picks = _open(keyed, spark, made, pending)
+
+    # The urn and its tree; then each shard's blocks, in the order drawn.
+    quotas = [p * (1 << b) + w + (i in edge) for i, (p, b, w) in enumerate(zip(made.passes, bits, whole, strict=True))]
+    tree = split_tree(quotas, made.shards, rng) if quotas else np.zeros((made.shards, 0), np.int64)
+    columns: dict[str, list] = {"n": [], "block": [], "pass": [], "shard": [], "edge": []}
+    for i, quota in enumerate(quotas):
+        own = [*order[i][:-1], order[i][-1][: whole[i]], *([[edge[i]]] if i in edge else [])]
+        turns = [*range(made.passes[i] + 1), *([made.passes[i]] if i in edge else [])]
+        mixed = rng.permutation(quota)
+        block = np.concatenate([np.asarray(o, np.int64) for o in own])[mixed]
+        turn = np.repeat(turns, [len(o) for o in own])[mixed]
+        columns["n"].append(np.full(quota, i, np.int32))
+        columns["block"].append(block)
+        columns["pass"].append(turn.astype(np.int32))
+        columns["shard"].append(np.repeat(np.arange(made.shards, dtype=np.int32), tree[:, i]))
+        columns["edge"].append((mixed == quota - 1) & (i in edge))
+    kinds = (np.int32, np.int64, np.int32, np.int32, bool)
+    made.draws = pa.table({k: np.concatenate([np.zeros(0, t), *v]) for (k, v), t in zip(columns.items(), kinds, strict=True)})
+    made.opened = pa.table(
+        {
+            "below": pa.array([_signed(below[i]) if i in below else None for i in range(len(rows))], pa.int64()),
+            "picks": pa.array([[_signed(k) for k in picks.get(i, ())] for i in range(len(rows))], pa.list_(pa.int64())),
+        }
+    )
+    return made
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _open(keyed: DataFrame, spark: SparkSession, made: Plan, pending: dict[int, tuple[int, int, float]]) -> tuple[dict, dict]:
+    """Of each source with a block on the edge, by (block, its bits, words that
+    are left): the key below which rows of the block are taken, and the further
+    keys that are.  Finer and finer histograms in the order of keys narrow the
+    edge down to a part of few keys, and these are weighed one by one."""
     below: dict[int, int] = {}
-    picks: list[tuple] = []
-    named = _named(spark, sources)
-    if small:
-        edge = spark.createDataFrame([(n, b, made.runs[n]) for n, (b, _) in small.items()], "n int, block long, run long")
-        within = keyed.join(
-            F.broadcast(named.join(edge, "n")),
-            keyed.source.eqNullSafe(named.name) & F.expr(f"shiftrightunsigned(key, {64 - bits}) div run = block"),
-        )
-        by = {n: [] for n in small}
-        for r in within.groupBy("n", "key").agg(F.sum("size").alias("size")).collect():
-            by[r.n].append((r.key & (1 << 64) - 1, int(r["size"])))
-        for n, (b, rest) in small.items():
-            below[n] = b * made.runs[n] << (64 - bits)
-            picks += [(n, k) for k in _fit(sorted(by[n]), rest)]
-    done = bits
+    picks: dict[int, list[int]] = {}
     while pending:
+        index = list(pending)
         edge = spark.createDataFrame(
-            pd.DataFrame({"n": list(pending), "prefix": [p for p, _ in pending.values()]}), "n int, prefix long"
+            pa.table(
+                {
+                    "e": pa.array(index, pa.int32()),
+                    "prefix": pa.array([_signed(pending[i][0]) for i in index], pa.int64()),
+                    "done": pa.array([pending[i][1] for i in index], pa.int32()),
+                }
+            )
         )
-        within = keyed.join(
-            F.broadcast(named.join(edge, "n")),
-            keyed.source.eqNullSafe(named.name) & (_bin(F.col("key"), 0, done) == F.col("prefix")),
-        ).select("n", "size", "key")
+        numbered = _by_source(keyed, spark, made)
+        on = (F.col("n") == F.col("e")) & (_leading("done") == F.col("prefix"))
+        within = numbered.join(_small(edge, len(index)), on).select("n", "size", "key", "done")
         counts = {r.n: r.c for r in within.groupBy("n").agg(F.count_distinct("key").alias("c")).collect()}
-        few = [n for n in pending if counts.get(n, 0) <= OPEN_ROWS or done >= 64]
-        if few:
-            rows_ = within.where(F.col("n").isin(few)).groupBy("n", "key").agg(F.sum("size").alias("size")).collect()
-            by: dict[int, list] = {n: [] for n in few}
-            for r in rows_:
-                by[r.n].append((r.key & (1 << 64) - 1, int(r["size"])))
-            for n in few:
-                below[n] = (pending[n][0] << (64 - done)) if done < 64 else pending[n][0]
-                picks += [(n, k) for k in _fit(sorted(by[n]), pending[n][1])]
-        pending = {n: v for n, v in pending.items() if n not in few}
+        few = {i for i in index if counts.get(i, 0) <= OPEN_ROWS or pending[i][1] >= 64}
+        last = {i: [] for i in few}
+        for r in within.where(F.col("n").isin(list(few))).groupBy("n", "key").agg(F.sum("size").alias("size")).collect() if few else ():
+            last[r.n].append((r.key & (1 << 64) - 1, int(r["size"])))
+        for i in few:
+            prefix, done, rest = pending.pop(i)
+            below[i] = prefix << (64 - done)
+            picks[i] = _fit(sorted(last[i]), rest)
         if pending:
-            step = max(1, min(12, 64 - done, int(math.log2(HISTOGRAM / len(pending)))))
-            hist: dict[int, np.ndarray] = {n: np.zeros(1 << step, np.int64) for n in pending}
-            fine = within.where(F.col("n").isin(list(pending)))
-            for r in fine.groupBy("n", _bin(F.col("key"), done, step).alias("bin")).agg(F.sum("size").alias("size")).collect():
-                hist[r.n][r.bin] = r["size"]
-            for n, (prefix, rest) in list(pending.items()):
-                run = np.cumsum(hist[n])
+            step = max(1, min(12, 64 - max(d for _, d, _ in pending.values()), int(math.log2(max(2, HISTOGRAM // len(pending))))))
+            sums = {i: np.zeros(1 << step, np.int64) for i in pending}
+            fine = within.where(~F.col("n").isin(list(few))) if few else within
+            for r in fine.groupBy("n", _next("done", step).alias("part")).agg(F.sum("size").alias("size")).collect():
+                sums[r.n][r.part] = r["size"]
+            for i, (prefix, done, rest) in list(pending.items()):
+                run = np.cumsum(sums[i])
                 k = min(int(np.searchsorted(run, rest, "right")), len(run) - 1)
-                pending[n] = (prefix << step | k, rest - (int(run[k - 1]) if k else 0))
-            done += step
-
-    # The urn and its tree; then each shard's blocks, in the order drawn.
-    draws = [
-        [(p, int(b), False) for p in range(made.passes[i]) for b in order[i][p]]
-        + [(made.passes[i], int(b), False) for b in order[i][-1][: whole[i]]]
-        + ([(made.passes[i], at[i], True)] if i in at else [])
-        for i in range(len(rows))
-    ]
-    quotas = split_tree([len(d) for d in draws], shards, rng) if draws else np.zeros((shards, 0), np.int64)
-    table = []
-    for i, d in enumerate(draws):
-        shard = np.repeat(np.arange(shards), quotas[:, i])
-        mixed = rng.permutation(len(d)) if d else []
-        table += [(i, d[j][1], d[j][0], int(shard[k]), d[j][2]) for k, j in enumerate(mixed)]
-    made.draws = pd.DataFrame(table, columns=["n", "bin", "pass", "shard", "edge"])
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    made.opened = pd.DataFrame(
-        [(n, signed(below[n]), [signed(k) for m, k in picks if m == n]) for n in below], columns=["n", "below", "picks"]
-    )
-    return made
+                pending[i] = (prefix << step | k, done + step, rest - (int(run[k - 1]) if k else 0))
+    return below, picks
 
 
 def _fit(rows: list[tuple[int, int]], rest: float) -> list[int]:
@@ -247,37 +268,28 @@ def _fit(rows: list[tuple[int, int]], rest: float) -> list[int]:
     return [rows[i - 1][0] for i in np.flatnonzero(taken) if i]
 
 
-def _named(spark, sources: list) -> DataFrame:
-    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("name", T.StringType())])
-    return spark.createDataFrame(list(enumerate(sources)), schema)
-
-
 def draws(keyed: DataFrame, made: Plan) -> DataFrame:
     """``keyed`` with (source_size, target, draws): the (pass, shard) pairs that
-    take the row.  The joined tables hold a row for each source and block, at
-    most twice ``HISTOGRAM``, whatever the number of documents."""
+    take the row.  The joined tables hold a row for each source and for each
+    block; beyond ``HISTOGRAM`` sources the first is not broadcast."""
     spark = keyed.sparkSession
-    info = spark.createDataFrame(
-        [(i, s, made.sizes[i], float(made.wanted[i]), made.runs[i]) for i, s in enumerate(made.sources)],
-        "n int, name string, source_size long, target double, run long",
-    )
-    blocks = spark.createDataFrame(
-        made.draws, "n int, bin long, pass int, shard int, edge boolean"
-    ).groupBy("n", "bin").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "edge"))).alias("all"))
-    opened = spark.createDataFrame(made.opened, "n int, below long, picks array<long>")
-    edge = (F.col("key").bitwiseXOR(F.lit(-(1 << 63))) < F.col("below").bitwiseXOR(F.lit(-(1 << 63)))) | F.coalesce(
-        F.array_contains("picks", F.col("key")), F.lit(False)
+    per_source = {"source_size": pa.array(made.sizes, pa.int64()), "target": pa.array(made.wanted, pa.float64())}
+    per_source |= {c: made.opened.column(c) for c in made.opened.column_names}
+    rows = _by_source(keyed, spark, made, **per_source)
+    blocks = spark.createDataFrame(made.draws).groupBy("n", "block").agg(
+        F.sort_array(F.collect_list(F.struct("pass", "shard", "edge"))).alias("all")
     )
-    rows = keyed.join(F.broadcast(info.join(opened, "n", "left")), keyed.source.eqNullSafe(info.name)).drop("name")
-    rows = rows.withColumn("bin", F.expr(f"shiftrightunsigned(key, {64 - made.bits}) div run")).withColumn("in_edge", edge)
-    rows = rows.join(F.broadcast(blocks), ["n", "bin"], "left")
+    unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
+    in_edge = F.coalesce(unsigned("key") < unsigned("below"), F.lit(False)) | F.array_contains("picks", F.col("key"))
+    rows = rows.withColumn("block", _leading("bits")).withColumn("in_edge", in_edge)
+    rows = rows.join(_small(blocks, made.draws.num_rows // (1 + max(made.passes, default=0))), ["n", "block"], "left")
     kept = F.filter(
         F.coalesce("all", F.array().cast("array<struct<pass:int,shard:int,edge:boolean>>")),
         lambda d: ~d["edge"] | F.col("in_edge"),
     )
     return rows.withColumn(
         "draws", F.transform(kept, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))
-    ).drop("n", "bin", "run", "all", "below", "picks", "in_edge")
+    ).drop("n", "block", "bits", "all", "below", "picks", "in_edge")
 
 
 def mix(
@@ -288,7 +300,7 @@ def mix(
     weights: Sequence[float] = WEIGHTS,
     share: float = SHARE,
     most: float = MOST,
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """(id, source, size, source_size, target, taken, shards) for each row.
@@ -296,7 +308,8 @@ def mix(
     ``taken`` is the row's words times the passes that take it; ``shards`` has
     a shard for each of them.  A null text has no words, a null source is a
     source of its own and comes last.  Rows that agree in id, source and text
-    are drawn together.  An empty table gives an empty result.
+    are drawn together, so a source misses its target by up to the words of
+    the largest such set.  An empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "mixing")
     keyed = scratch.keep(_keyed(df, id_col, text_col, source_col, seed), "keyed")
@@ -320,11 +333,13 @@ def mixed_rows(
     weights: Sequence[float] = WEIGHTS,
     share: float = SHARE,
     most: float = MOST,
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """The mixture itself: the columns of ``df``, a row for each time the mix
-    takes it, dealt to shards and shuffled within each."""
+    takes it.  Each shard is a partition, shuffled within.  Nulls, repeated
+    rows and empty tables as in ``mix``; rows that tie in the shuffle are of
+    one key and pass, that is equal in id, source and text."""
     scratch = Scratch(df.sparkSession, "mixing")
     keyed = scratch.keep(_keyed(df, id_col, text_col, source_col, seed), "keyed")
     made = plan(keyed, weights, share, most, shards, seed)
@@ -334,5 +349,5 @@ def mixed_rows(
     rows = df.select(row, source.alias("source"), _key(F.col(f"`{id_col}`"), text, source, seed).alias("key"))
     taken = draws(rows, made).select("row", "key", F.explode("draws").alias("draw"))
     place = F.xxhash64(F.lit(seed), F.col("key"), F.col("draw.pass"))
-    dealt = taken.repartition(shards, F.col("draw.shard")).sortWithinPartitions("draw.shard", place)
+    dealt = taken.repartitionById(made.shards, F.col("draw.shard")).sortWithinPartitions(place)
     return dealt.select("row.*")
