@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,6 @@ from leafmill.scratch import Scratch
 
 #: Labelled documents that the model is fitted on, at most; half of each label.
 TRAIN_ROWS = 20_000
-#: Tokens in the model, at most: those with the largest scores.
-TOKENS = 50_000
 FOLDS = 5
 PRIOR = 50.0
 ERRORS = 2.0
@@ -120,16 +118,18 @@ def token_counts(sample: DataFrame) -> DataFrame:
     )
 
 
-def token_scores(n1: np.ndarray, n0: np.ndarray, all1: float, all0: float) -> np.ndarray:
-    """Scores before drift, from counts in toxic and clean documents."""
+def token_scores(n1: Column, n0: Column, all1: float, all0: float, kinds: int) -> Column:
+    """A token's score before drift, from its counts in toxic and clean
+    documents, the sums of these over all tokens, and the number of tokens."""
     whole = max(1.0, all1 + all0)
     a = 1.0 + PRIOR * (n1 + n0) / whole
-    one, none = n1 + a * (all1 + 1) / (whole + 2), n0 + a * (all0 + 1) / (whole + 2)
-    size = len(n1) + PRIOR
-    rest = lambda x, total: np.maximum(1.0, total + size * (total + 1) / (whole + 2) - x)
-    log_odds = np.log(one / rest(one, all1)) - np.log(none / rest(none, all0))
-    sure = np.maximum(0.0, np.abs(log_odds) - ERRORS * np.sqrt(1 / one + 1 / none))
-    return np.where(n1 + n0 > 0, np.sign(log_odds) * sure, 0.0)
+    share1, share0, size = (all1 + 1) / (whole + 2), (all0 + 1) / (whole + 2), kinds + PRIOR
+    one, none = n1 + a * share1, n0 + a * share0
+    rest1 = F.greatest(F.lit(1.0), F.lit(all1 + size * share1) - one)
+    rest0 = F.greatest(F.lit(1.0), F.lit(all0 + size * share0) - none)
+    log_odds = F.log(one / rest1) - F.log(none / rest0)
+    sure = F.greatest(F.lit(0.0), F.abs(log_odds) - ERRORS * F.sqrt(1 / one + 1 / none))
+    return F.when(n1 + n0 > 0, F.signum(log_odds) * sure).otherwise(0.0)
 
 
 def _decay(scores: np.ndarray, share: np.ndarray) -> float:
@@ -144,19 +144,22 @@ def _decay(scores: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
-def _token_model(rows, fitted: tuple[str, ...], clean: tuple[str, ...]) -> ToxicityModel:
-    """``rows``: columns of counts as arrays, and the tokens."""
-    n1 = sum(rows[k + "1"] for k in fitted).astype(float)
-    n0 = sum(rows[k + "0"] for k in fitted).astype(float)
-    raw = token_scores(n1, n0, n1.sum(), n0.sum()) if len(n1) else np.zeros(0)
-    chosen = np.flatnonzero(raw)
-    chosen = chosen[np.argsort(-np.abs(raw[chosen]), kind="stable")][:TOKENS]
-    model = ToxicityModel({rows["token"][i]: float(raw[i] - DRIFT) for i in chosen})
-    share = (n0 + PRIOR * (n1 + n0) / max(1.0, (n1 + n0).sum()))
-    if share.sum():
-        final = np.full(len(raw), -DRIFT)
-        final[chosen] += raw[chosen]
-        model.decay = _decay(final, share / share.sum())
+def _token_model(counts: DataFrame, parts: Sequence[str]) -> ToxicityModel:
+    """Scores from the counts of these parts of the sample.  Tokens that score
+    nothing stay where they are; only the sum of their shares is asked for."""
+    n1, n0 = (sum((F.col(p + y) for p in parts), F.lit(0.0)) for y in "10")
+    rows = counts.select("token", n1.alias("n1"), n0.alias("n0"))
+    sums = rows.agg(F.count(F.lit(1)).alias("k"), F.sum("n1").alias("a"), F.sum("n0").alias("b")).first()
+    all1, all0 = float(sums.a or 0), float(sums.b or 0)
+    share = F.col("n0") + PRIOR * (F.col("n1") + F.col("n0")) / max(1.0, all1 + all0)
+    scored = rows.select("token", token_scores(F.col("n1"), F.col("n0"), all1, all0, sums.k).alias("raw"), share.alias("share"))
+    rest = scored.where("raw = 0").agg(F.sum("share").alias("share")).first().share or 0.0
+    got = scored.where("raw <> 0").orderBy("token").toArrow()
+    raw = got.column("raw").to_numpy()
+    model = ToxicityModel(dict(zip(map(bytes, got.column("token").to_pylist()), (raw - DRIFT).tolist(), strict=True)))
+    shares = np.append(got.column("share").to_numpy(), rest)
+    if shares.sum():
+        model.decay = _decay(np.append(raw, 0.0) - DRIFT, shares / shares.sum())
     return model
 
 
@@ -176,23 +179,25 @@ def _evidence_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            out = []
+            n, best, x = [], [], []
             for t in batch.column(1).to_pylist():
-                n, found = m.passages(t)
-                out.append((float(n), max((x for *_, x, _ in found), default=0.0), m.evidence(n, found)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([x[0] for x in out], pa.float64()),
-                    pa.array([x[1] for x in out], pa.float64()),
-                    pa.array([x[2] for x in out], pa.list_(pa.float64())),
-                ],
-                ["y", "n", "best", "x"],
-            )
+                size, found = m.passages(t)
+                n.append(float(size))
+                best.append(max((s for _, _, s, _ in found), default=0.0))
+                x.append(m.evidence(size, found))
+            kinds = (pa.float64(), pa.float64(), pa.list_(pa.float64()))
+            columns = [pa.array(v, k) for v, k in zip((n, best, x), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["y", "n", "best", "x"])
 
     return run
 
 
+def _evidence(sample: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(y, n, best, x): tokens, best segment and evidence of each text."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+    return sample.select("y", "text").mapInArrow(_evidence_batches(sent), "y int, n double, best double, x array<double>")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int = TRAIN_ROWS) -> ToxicityModel:
     """Fits on labelled documents outside the held-out fold, at most ``limit``,
     half of each label: those with the least hashes of the id.  Equal texts
@@ -210,41 +215,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         F.min("text").alias("text"), F.max("y").alias("y")
     )
     sample = scratch.keep(sample.select("y", "text", (F.pmod("h", F.lit(3)) == 0).cast("int").alias("part")), "sample")
-    got = token_counts(sample).where("fit1 + cal1 + fit0 + cal0 > 1").toArrow()
-    table = {n: got.column(n).to_numpy() for n in ("fit0", "fit1", "cal0", "cal1")}
-    table["token"] = [bytes(x) for x in got.column("token").to_pylist()]
-    half = _token_model(table, ("fit",), ("fit",))
-    full = _token_model(table, ("fit", "cal"), ("fit", "cal"))
-
-    seen = sample.where("part = 1").select("y", "text").mapInArrow(
-        _evidence_batches(spark.sparkContext.broadcast(half)), "y int, n double, best double, x array<double>"
-    ).collect()
+    counts = scratch.keep(token_counts(sample).where("fit1 + cal1 + fit0 + cal0 > 1"), "tokens")
+    half, full = _token_model(counts, ("fit",)), _token_model(counts, ("fit", "cal"))
+
+    # On the other part: first the scale, from clean texts, then the curve over
+    # the evidence that the model gives with it.
+    other = sample.where("part = 1")
+    gumbel = F.avg(F.lit(half.decay) * F.col("best") - F.log(F.greatest("n", F.lit(1.0))))
+    mean = _evidence(other.where("y = 0"), half).agg(gumbel.alias("m")).first().m
+    if mean is not None:  # mean of a Gumbel law: lambda S - ln n = ln K + 0.5772
+        half.scale = full.scale = float(np.clip(np.exp(mean - 0.5772), 1e-6, 1.0))
+    seen = _evidence(other, half).select("y", "x").collect()
     y = np.array([r.y for r in seen], float)
-    best, n = np.array([r.best for r in seen]), np.array([max(1.0, r.n) for r in seen])
-    clean = y == 0
-    if clean.any():  # mean of a Gumbel law: lambda S - ln n = ln K + 0.5772
-        half.scale = full.scale = float(np.clip(np.exp(np.mean(half.decay * best[clean] - np.log(n[clean])) - 0.5772), 1e-6, 1.0))
-    if not clean.all() and clean.any():
-        x = np.array([_rescaled(half, r) for r in seen])
-        full.weights, full.bias = _fit_curve(x, y)
+    real = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
+    full.bias = float(np.log(real / (1 - real)))
+    if len(y) and y.min() != y.max():
+        full.weights, bias = _fit_curve(np.array([r.x for r in seen]), y)
         drawn = (y.sum() + 1) / (len(y) + 2)
-        real = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
-        full.bias += float(np.log(real / (1 - real)) - np.log(drawn / (1 - drawn)))
-    else:
-        real = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
-        full.bias = float(np.log(real / (1 - real)))
+        full.bias += bias - float(np.log(drawn / (1 - drawn)))
     return full
 
 
-def _rescaled(model: ToxicityModel, row) -> list[float]:
-    """Evidence of a row that was scored while ``scale`` was still 1."""
-    if row.best == 0.0:
-        return row.x
-    surprise = row.x[0] - np.log(model.scale)
-    more = np.expm1(row.x[1])
-    return [float(np.clip(surprise, -5, 40)), float(np.log1p(max(more, surprise if surprise > 3 else 0.0))), row.x[2]]
-
-
 def _score_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

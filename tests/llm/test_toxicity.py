@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -39,6 +40,95 @@ def test_decay_is_the_positive_root():
     assert abs((p * np.exp(at * s)).sum() - 1) < 1e-6
 
 
+def plain_model(sample):
+    """The model by plain loops, from (y, part, text)."""
+    sets = [(y, part, set((t or "").lower().split())) for y, part, t in sample]
+    total = {}
+    for *_, words in sets:
+        for w in words:
+            total[w] = total.get(w, 0) + 1
+    kinds = sorted(w for w, n in total.items() if n > 1)
+
+    def fit(parts):
+        n = {w: [sum(w in words for y, p, words in sets if y == k and p in parts) for k in (0, 1)] for w in kinds}
+        all_ = [sum(v[k] for v in n.values()) for k in (0, 1)]
+        whole = sum(all_)
+        scores, shares = {}, {}
+        for w, both in n.items():
+            a = 1 + x.PRIOR * sum(both) / whole
+            with_prior = [both[k] + a * (all_[k] + 1) / (whole + 2) for k in (0, 1)]
+            rest = [max(1, all_[k] + (len(kinds) + x.PRIOR) * (all_[k] + 1) / (whole + 2) - with_prior[k]) for k in (0, 1)]
+            odds = math.log(with_prior[1] / rest[1]) - math.log(with_prior[0] / rest[0])
+            sure = abs(odds) - x.ERRORS * math.sqrt(sum(1 / v for v in with_prior))
+            scores[w] = math.copysign(sure, odds) - x.DRIFT if sure > 0 and sum(both) else -x.DRIFT
+            shares[w] = both[0] + x.PRIOR * sum(both) / whole
+        size = sum(shares.values())
+        low, high = 1e-3, 5.0  # the root of a convex function that is negative just above 0
+        for _ in range(200):
+            mid = (low + high) / 2
+            if sum(shares[w] / size * math.exp(mid * scores[w]) for w in kinds) <= 1:
+                low = mid
+            else:
+                high = mid
+        return scores, high
+
+    def segments(model, text):
+        words = (text or "").lower().split()
+        return len(words), slow_segments([model[0].get(w, -x.DRIFT) for w in words])
+
+    def evidence(model, scale, n, found):
+        surprise = [model[1] * s - math.log(scale * max(1, n)) for *_, s in found]
+        best = min(40, max(-5, max(surprise, default=-5)))
+        return [best, math.log1p(sum(v for v in surprise if v > -math.log(x.SIGNIFICANT))), math.log1p(n) / 5]
+
+    half, full = fit([0]), fit([0, 1])
+    seen = [(y, *segments(half, t)) for y, p, t in sample if p == 1]
+    clean = [half[1] * max((s for *_, s in f), default=0.0) - math.log(max(1, n)) for y, n, f in seen if y == 0]
+    scale = min(1.0, max(1e-6, math.exp(sum(clean) / len(clean) - 0.5772)))
+    rows = [(y, evidence(half, scale, n, f)) for y, n, f in seen]
+
+    def loss(w):
+        z = [sum(a * b for a, b in zip(w, [*e, 1.0])) for _, e in rows]
+        return sum(math.log1p(math.exp(-v if y else v)) for (y, _), v in zip(rows, z)) + sum(v * v for v in w[:3]) / 2 + 5e-4 * w[3] ** 2
+
+    w, step = [0.0] * 4, 1.0  # coordinate descent by trial
+    while step > 1e-7:
+        moved = False
+        for i in range(4):
+            for d in (step, -step):
+                then = [v + d * (k == i) for k, v in enumerate(w)]
+                if loss(then) < loss(w):
+                    w, moved = then, True
+        step = step if moved else step / 2
+    toxic = sum(y for y, *_ in sample)
+    drawn = (sum(y for y, _ in rows) + 1) / (len(rows) + 2)
+    real = (toxic + 1) / (len(sample) + 2)
+    w[3] += math.log(real / (1 - real)) - math.log(drawn / (1 - drawn))
+    return lambda t: 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, [*evidence(full, scale, *segments(full, t)), 1.0]))))
+
+
+def test_scores_against_plain_loops(spark):
+    rng = random.Random(11)
+    kinds, bad = [f"w{i}" for i in range(40)], ["vile", "nasty", "awful"]
+    rows, labels = [], []
+    for i in range(240):
+        words = [rng.choice(kinds) for _ in range(rng.randint(3, 14))]
+        if i % 4 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = [rng.choice(bad) for _ in range(rng.randint(1, 3))]
+        elif i % 9 == 0:
+            words[0] = rng.choice(bad)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in x.score(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    parts = {r.doc_id: r.part for r in df.selectExpr("doc_id", "int(pmod(xxhash64(text), 3) = 0) AS part").collect()}
+    learnt = [(y, parts[i], rows[i][1]) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    want = plain_model(learnt)
+    for i, t in rows:
+        assert abs(got[i] - want(t)) < 1e-4, (i, t, got[i], want(t))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in QUERIES["op6_toxic_segments"](spark, sf).collect()}
