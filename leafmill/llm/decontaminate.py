@@ -149,7 +149,10 @@ class Segment:
         found = self.postings(terms[order[0]])
         for k in order[1:]:
             there = self.postings(terms[k])
-            found = found[np.searchsorted(there, found + slop, "right") > np.searchsorted(there, found - slop)]
+            first = self.bases[self.document(found)]  # no document is left, however wide the slop
+            last = first + np.array(self.n_words, np.int64)[self.document(found)] - 1
+            low, high = np.maximum(found - slop, first), np.minimum(found + slop, last)
+            found = found[np.searchsorted(there, high, "right") > np.searchsorted(there, low)]
         return found
 
     def document(self, places: np.ndarray) -> np.ndarray:
@@ -180,6 +183,9 @@ def frequencies(index: DataFrame, terms: Iterable[bytes]) -> dict[bytes, int]:
     return {bytes(r.term): r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
+_HITS = ("segment", "row", "id", "starts", "stops", "items")
+
+
 def _searcher(plan, slop: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rarest = plan.value
@@ -187,30 +193,29 @@ def _searcher(plan, slop: int | None):
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                 seg = Segment(row)
-                starts: list[list[int]] = [[] for _ in seg.ids]
-                stops: list[list[int]] = [[] for _ in seg.ids]
-                items: list[set[str]] = [set() for _ in seg.ids]
+                found: dict[int, tuple[list[int], list[int], set[str]]] = {}
                 for term in by_rarest.keys() & seg.numbers.keys():
                     for terms, order, names in by_rarest[term]:
                         if slop is None:
-                            found, width = seg.phrase(terms, order), len(terms)
+                            places, width = seg.phrase(terms, order), len(terms)
                         else:
-                            found, width = seg.near(terms, order, slop), 1
-                        for d, at in zip(seg.document(found).tolist(), found.tolist(), strict=True):
-                            starts[d].append(int(at - seg.bases[d]))
-                            stops[d].append(int(at - seg.bases[d] + width))
-                            items[d].update(names)
+                            places, width = seg.near(terms, order, slop), 1
+                        for d, at in zip(seg.document(places).tolist(), places.tolist(), strict=True):
+                            starts, stops, items = found.setdefault(d, ([], [], set()))
+                            starts.append(int(at - seg.bases[d]))
+                            stops.append(int(at - seg.bases[d] + width))
+                            items.update(names)
+                docs = sorted(found)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["segment"]] * len(seg.ids), pa.int64()),
-                        pa.array(range(len(seg.ids)), pa.int32()),
-                        batch.column("ids")[k].values,
-                        pa.array(seg.n_words, pa.int32()),
-                        pa.array(starts, pa.list_(pa.int32())),
-                        pa.array(stops, pa.list_(pa.int32())),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                        pa.array([row["segment"]] * len(docs), pa.int64()),
+                        pa.array(docs, pa.int32()),
+                        pa.array([row["ids"][d] for d in docs], batch.column("ids").type.value_type),
+                        pa.array([found[d][0] for d in docs], pa.list_(pa.int32())),
+                        pa.array([found[d][1] for d in docs], pa.list_(pa.int32())),
+                        pa.array([sorted(found[d][2]) for d in docs], pa.list_(pa.string())),
                     ],
-                    ["segment", "row", "id", "n_words", "starts", "stops", "items"],
+                    list(_HITS),
                 )
 
     return run
@@ -224,8 +229,8 @@ def search(
 ) -> Iterator[DataFrame]:
     """Matches of phrases, a DataFrame for each pass of ``per_pass`` of them.
 
-    Every pass has one row for each indexed document: (segment, row, id, n_words,
-    starts, stops, items), the word ranges that match and the names of their phrases.
+    A pass has one row for each document with a match: (segment, row, id, starts,
+    stops, items), the word ranges that match and the names of their phrases.
     ``slop`` None asks for exact phrases, else for the places of each phrase's
     rarest term that have all its other terms within ``slop`` words.
     """
@@ -237,7 +242,6 @@ def search(
             T.StructField("segment", T.LongType()),
             T.StructField("row", T.IntegerType()),
             T.StructField("id", id_type),
-            T.StructField("n_words", T.IntegerType()),
             T.StructField("starts", T.ArrayType(T.IntegerType())),
             T.StructField("stops", T.ArrayType(T.IntegerType())),
             T.StructField("items", T.ArrayType(T.StringType())),
@@ -266,27 +270,34 @@ def windows(items: Iterable[tuple[object, bytes | None]], width: int = WINDOW) -
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of segments with the matches in them, a row for each document."""
     for batch in batches:
-        n_hit, n_items, digests = [], [], []
-        for starts, stops, items in zip(*(batch.column(c).to_pylist() for c in ("starts", "stops", "items")), strict=True):
-            hit, end = 0, 0
-            for s, e in sorted(zip(starts, stops, strict=True)):
-                hit += max(0, e - max(s, end))
-                end = max(end, e)
-            n_hit.append(hit)
-            names = sorted(set(items))
-            n_items.append(len(names))
-            digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                batch.column("n_words").cast(pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array(n_items, pa.int64()),
-                pa.array(digests, pa.string()),
-            ],
-            ["id", "n_words", "n_hit", "n_items", "items_sha256"],
-        )
+        for k in range(batch.num_rows):
+            n_words = batch.column("n_words")[k].values
+            n_hit, n_items = np.zeros(len(n_words), np.int64), np.zeros(len(n_words), np.int64)
+            digests = [hashlib.sha256(b"").hexdigest()] * len(n_words)
+            ranges: dict[int, list] = {}
+            items: dict[int, set] = {}
+            for m in batch.column("matches")[k].as_py() or ():
+                ranges.setdefault(m["row"], []).extend(zip(m["starts"], m["stops"], strict=True))
+                items.setdefault(m["row"], set()).update(m["items"])
+            for d, found in ranges.items():
+                end = 0
+                for s, e in sorted(found):
+                    n_hit[d] += max(0, e - max(s, end))
+                    end = max(end, e)
+                n_items[d] = len(items[d])
+                digests[d] = hashlib.sha256(",".join(sorted(items[d])).encode()).hexdigest()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("ids")[k].values,
+                    n_words.cast(pa.int64()),
+                    pa.array(n_hit),
+                    pa.array(n_items),
+                    pa.array(digests, pa.string()),
+                ],
+                ["id", "n_words", "n_hit", "n_items", "items_sha256"],
+            )
 
 
 def contamination(
@@ -324,20 +335,28 @@ def contamination(
         ]
     )
     passes: list[DataFrame] = []
+
+    def take(phrases: dict[tuple[bytes, ...], set[str]]) -> None:
+        for found in search(index, phrases, None, per_pass * 2):
+            passes.append(scratch.keep(found, f"pass-{len(passes)}"))
+
     held: dict[tuple[bytes, ...], set[str]] = {}
     for row in benchmark.select(F.col(f"`{item_col}`"), F.col(f"`{item_text_col}`")).toLocalIterator():
         text = None if row[1] is None else str(row[1]).encode()
         for window, names in windows([(row[0], text)], width).items():
             held.setdefault(window, set()).update(names)
         if len(held) >= per_pass:
-            passes += search(index, held, None, per_pass * 2)
+            take(held)
             held = {}
     if held or not passes:
-        passes += search(index, held, None, per_pass * 2)
-    hits = passes[0]
-    if len(passes) > 1:
-        hits = _merge(passes)
-    return hits.mapInArrow(_digest, judged).select(
+        take(held)
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    # What matches in a segment is bounded by the segment.
+    matches = every.groupBy("segment").agg(F.collect_list(F.struct("row", "starts", "stops", "items")).alias("matches"))
+    rows = index.select("segment", "ids", "n_words").join(matches, "segment", "left").select("ids", "n_words", "matches")
+    return rows.mapInArrow(_digest, judged).select(
         F.col("id").alias(id_col),
         "n_words",
         "n_hit",
@@ -345,17 +364,3 @@ def contamination(
         "items_sha256",
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
-
-
-def _merge(passes: list[DataFrame]) -> DataFrame:
-    """One row for each document of several passes."""
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("segment", "row").agg(
-        F.first("id").alias("id"),
-        F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("starts")).alias("starts"),
-        F.flatten(F.collect_list("stops")).alias("stops"),
-        F.flatten(F.collect_list("items")).alias("items"),
-    )

@@ -56,5 +56,27 @@ def test_proximity(spark):
     assert {r.id for r in rows if r["items"]} == {1, 2}
 
 
+@pytest.mark.parametrize("slop", [0, 2, 80, 10_000])
+def test_proximity_against_brute_force(spark, slop):
+    rng = random.Random(slop)
+    docs = [(i, " ".join(rng.choice(["red", "blue", "green", *"abcdefghij"]) for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    docs += [(200, "x red end"), (201, "blue start"), (202, ""), (203, "green " + "y " * 90 + "red blue")]
+    asked = {(b"red", b"blue"): {"two"}, (b"green", b"red", b"blue"): {"three"}}
+    index = d.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(2))
+    often = d.frequencies(index, {w for p in asked for w in p})
+    got = {r.id: (sorted(r.starts), set(r["items"])) for part in d.search(index, asked, slop) for r in part.collect()}
+    want = {}
+    for i, t in docs:
+        w = [x.encode() for x in words(t)]
+        for terms, names in asked.items():
+            rare = min(range(len(terms)), key=lambda k: (often[terms[k]], k))
+            for at, x in enumerate(w):
+                if x == terms[rare] and all(y in w[max(0, at - slop) : at + slop + 1] for y in terms):
+                    starts, found = want.setdefault(i, ([], set()))
+                    starts.append(at)
+                    found |= names
+    assert got == {i: (sorted(s), n) for i, (s, n) in want.items()}
+
+
 def test_query(spark, sf):
     same(QUERIES["op5_benchmark_decontamination"](spark, sf), ORACLES["op5_benchmark_decontamination"], sf)
