@@ -1,18 +1,24 @@
 """License scans: TF-IDF cosine to templates, then inheritance by directories.
 
-Statements are the lines and sentences of a text that mention a license.  Each
-different statement is compared once with every template, as sparse TF-IDF
-vectors: a statement's tokens meet the templates' by an equi-join, and tokens
-that no template has only lengthen its vector.  The best template from
-``THRESHOLD`` on is the statement's license, the best statement's is the
-file's.  A file that opens with its statement, or is named like one, is its
-directory's license file.  Files without a license of their own take that of
-the nearest directory above that has one, by joining the paths of all their
-ancestors.  Everything is DataFrame functions.
-
-Beside statements, blocks are compared with whole license texts and headers:
-the file, its comments and its paragraphs with their lines joined, and with
-titles its first lines.  SPDX expressions are taken as they stand.
+Templates are titles, headers, texts and the usual one-line statements of public
+licenses.  A file is compared with them as a whole and by its parts: lines,
+sentences of lines and of paragraphs, paragraphs, runs of line comments and
+block comments.  Parts and templates are sparse TF-IDF vectors: tf is
+1 + ln(count); idf comes from the number of documents, of the corpus and the
+templates, that have a token, and a token that no template has weighs like one
+of a single document.  A part's tokens meet the templates' by an equi-join, once
+for each different part.
+
+No part is left out that could reach ``THRESHOLD``.  By the inequality of Cauchy
+and Schwarz its shared tokens must hold THRESHOLD**2 of the template's squared
+length, so it must have one of the template's rarest tokens (``gate``); and as
+other tokens lengthen its own vector, it has few of them beside many shared ones.
+
+The best template is the part's license, the best part's is the file's.  A file
+that opens with its license, or is named like one, is its directory's license
+file.  Files without a license of their own take that of the nearest directory
+above that has one, by joining the paths of all their ancestors.  SPDX
+expressions are taken as they stand.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -20,38 +26,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.joins import join_groups
 from leafmill.scratch import Scratch
 
-# The usual headers and opening lines of public licenses.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Licensed under the 3-clause BSD License."),
-    ("BSD-2-Clause", "Licensed under the 2-clause BSD License."),
-    ("ISC", "Licensed under the ISC License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "This work is dedicated to the public domain under the CC0 1.0 License."),
-    ("Proprietary", "All rights reserved."),
-    ("Proprietary", "No license is granted."),
-)
+# Titles, headers, passages of the texts, and usual statements of public licenses.
 _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
     "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
@@ -83,114 +66,219 @@ _BSD_REST = (
     "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
     "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-_GPL = (
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free "
-    "Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope that "
-    "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
-    "the GNU {} for more details."
+_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_REST = (
+    ". THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+    "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+    "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+    "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_GNU_HEADER = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software "
+    "Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it "
+    "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+    "GNU {name} for more details."
 )
-_GNU = (("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3"))
-BODIES = (
-    ("MIT", _MIT), ("MIT", _MIT + _MIT_REST), ("BSD-2-Clause", _BSD + _BSD_REST), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_REST),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
-     "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
-     "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
-     "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
-     "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+_GNU = (
+    ("GPL-2.0", "General Public License", "2", "June 1991"), ("GPL-3.0", "General Public License", "3", "29 June 2007"),
+    ("LGPL-2.1", "Lesser General Public License", "2.1", "February 1999"), ("LGPL-3.0", "Lesser General Public License", "3", "29 June 2007"),
+    ("AGPL-3.0", "Affero General Public License", "3", "19 November 2007"),
+)
+TEMPLATES = (
+    ("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("MIT", "Released under the MIT License."), ("MIT", _MIT), ("MIT", _MIT + _MIT_REST),
+    ("MIT", "This project is licensed under the terms of the MIT license."),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "Licensed under the 2-clause BSD License."), ("BSD-2-Clause", _BSD + _BSD_REST),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "Licensed under the 3-clause BSD License."), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_REST),
+    ("ISC", "ISC License"), ("ISC", "Licensed under the ISC License."),
+    ("ISC", _GRANT + ", provided that the above copyright notice and this permission notice appear in all copies" + _ISC_REST),
+    ("0BSD", "BSD Zero Clause License"), ("0BSD", _GRANT + _ISC_REST),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0",
+     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
      "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
      "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
      "implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
-     "this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    *((k, _GPL.format(name, v, name)) for k, name, v in _GNU),
-)
-TITLES = (
-    ("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"),
-    ("BSD-3-Clause", "BSD 3-Clause License"), ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
-    ("GPL-2.0", "GNU General Public License Version 2, June 1991"), ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
-    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"), ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0",
+     "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."),
+    ("Apache-2.0",
+     "2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, "
+     "worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, "
+     "publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"), ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0",
+     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+     "You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    *((k, f"GNU {name} Version {v}, {day}") for k, name, v, day in _GNU),
+    *((k, f"This work is licensed under the GNU {name}, version {v}.") for k, name, v, _ in _GNU),
+    *((k, f"Licensed under the GNU {name}, version {v}.") for k, name, v, _ in _GNU),
+    *((k, _GNU_HEADER.format(what="program", name=name, version=v)) for k, name, v, _ in _GNU),
+    *((k, _GNU_HEADER.format(what="library", name=name, version=v)) for k, name, v, _ in _GNU if k[0] == "L"),
+    ("GPL-2.0",
+     "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is "
+     "intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-3.0",
+     "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, "
+     "supplemented by the additional permissions listed below."),
+    ("AGPL-3.0",
+     "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure "
+     "cooperation with the community in the case of network server software."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0",
+     "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF "
+     "THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."),
+    ("EPL-2.0",
+     "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+     "https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0",
+     "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+     "covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare "
+     "derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("Zlib", "zlib License"),
+    ("Zlib",
+     "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+     "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+     "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be "
+     "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+     "product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+     "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense",
+     "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+     "for any purpose, commercial or non-commercial, and by any means."),
+    ("CC0-1.0", "CC0 1.0 Universal"), ("CC0-1.0", "This work is dedicated to the public domain under the CC0 1.0 License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("Proprietary", "All rights reserved."), ("Proprietary", "No license is granted."),
 )
-#: Every body and title has one of these words, and texts without any have no blocks.
-ANCHORS = r"(?i)licen[sc]e|spdx|hereby|redistribut"
 SPDX = r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)"
-TITLE_THRESHOLD = 0.9
-#: Stands for a block, which may be long, beside each of its tokens.
-KEY = "sha2(said, 256)"
-#: A block of more characters has too many other words for any body.
-LONGEST = 20_000
 THRESHOLD = 0.75
-#: A file whose license is among so many first lines or sentences opens with it.
+#: Tokens in a smaller share of the documents weigh alike.
+RAREST = 1e-4
+#: A license in so many first lines or sentences opens the file.
 OPENING = 2
-MENTION = r"(?i)licen[sc]e|spdx|all rights reserved"
 FILE_NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
-_TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-
-
-def _tokens(line: str) -> list[str]:
-    return _TOKEN.findall(line.lower())
-
-
-def template_vectors(templates: tuple = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
-    """(template number, license, token, weight over the vector's length), the
-    tokens' IDF, and the IDF of a token that no template has."""
-    lists = [Counter(_tokens(t)) for _, t in templates]
-    n = len(lists)
-    df = Counter(w for c in lists for w in c)
-    idf = {w: round(math.log((1 + n) / (1 + k)) + 1, 9) for w, k in df.items()}
-    rows = []
-    for i, c in enumerate(lists):
-        length = math.sqrt(sum((k * idf[w]) ** 2 for w, k in c.items()))
-        rows += [(i, templates[i][0], w, round(k * idf[w] / length, 9)) for w, k in sorted(c.items())]
-    return rows, idf, round(math.log(1 + n) + 1, 9)
-
-
-def statements(text: Column) -> Column:
-    """Array of trimmed lines and sentences that mention a license, and their
-    places among all: (at, said)."""
-    lines = F.split(F.regexp_replace(text, r"([.!?;])[ \t]+", "$1\n"), "\n")
-    trimmed = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
-    return F.filter(
-        F.transform(trimmed, lambda x, i: F.struct(i.alias("at"), x.alias("said"))), lambda s: s["said"].rlike(MENTION)
-    )
+# Parts, in patterns that Java and RE2 read alike.
+_BEYOND = r"[^\x00-\x7F]+"
+_TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
+_CODE = r"^[ \t\r\n]*(?://|#|/\*|\*|--|;|%|<!--)"
+_BLANK = r"\n[ \t]*(?://+|#+|\*+|;+|--+|%+)?[ \t\r]*\n"
+_RUN = r"(?:(?:^|\n)[ \t]*(?://|#|;|--|%)[^\n]*)+"
+_COMMENT = r"(?s:/\*.*?\*/|<!--.*?-->)"
+_WHITE = " \t\r\n"
+
+
+def tokens_of(text: str) -> list[str]:
+    return re.findall(_TOKEN, re.sub(_BEYOND, " ", text).lower())
+
+
+def vocabulary(templates: Sequence = TEMPLATES) -> list[str]:
+    return sorted({w for _, t in templates for w in tokens_of(t)})
+
+
+class Vectors:
+    """Weights of the templates, and what passes the gate."""
+
+    def __init__(self, df: dict[str, int], n: int, templates: Sequence = TEMPLATES, threshold: float = THRESHOLD):
+        """``df``: documents of the corpus, of ``n``, that have a token."""
+        counts = [Counter(tokens_of(t)) for _, t in templates]
+        total = n + len(templates)
+        have = Counter(w for c in counts for w in c)
+        self.threshold = threshold
+        self.idf = {w: 1 + math.log(1 / max((df.get(w, 0) + k) / total, RAREST)) for w, k in have.items()}
+        self.other = 1 + math.log(1 / max(1 / total, RAREST))
+        self.rows: list[tuple[int, str, str, float]] = []
+        self.gate: set[str] = set()
+        for i, c in enumerate(counts):
+            weights = {w: (1 + math.log(k)) * self.idf[w] for w, k in c.items()}
+            size = math.sqrt(sum(x * x for x in weights.values()))
+            self.rows += [(i, templates[i][0], w, x / size) for w, x in sorted(weights.items())]
+            left = size * size
+            for w in sorted(weights, key=lambda w: (-self.idf[w], w)):
+                if left < (threshold - 1e-5) ** 2 * size * size:
+                    break
+                self.gate.add(w)
+                left -= weights[w] ** 2
+
+    def gate_pattern(self) -> str:
+        return rf"(?<![a-z0-9])(?:{'|'.join(re.escape(w) for w in sorted(self.gate))})(?![a-z0-9])"
 
+    def may_reach(self, tokens: Column) -> Column:
+        """False only for parts that no template can fit.  With k different
+        shared tokens, m of them in all, a vector's shared part has a squared
+        length of k (1 + ln(m / k))**2 times the greatest squared weight at
+        most, as the squares of 1 + ln are concave; each other token adds its
+        square to the whole."""
+        kinds = F.array_distinct(tokens)
+        shared = F.size(F.array_intersect(kinds, F.lit(sorted(self.idf))))
+        others = F.size(kinds) - shared
+        log = 1 + F.log((F.size(tokens) - others) / F.greatest(shared, F.lit(1)))
+        most = max(self.idf.values()) ** 2 * (1 / (self.threshold - 1e-5) ** 2 - 1)
+        return (shared > 0) & (others * self.other**2 <= shared * log * log * most)
 
-def blocks(text: Column) -> Column:
-    """Array of (kind, at, said): 1 a block for the bodies, 2 one for the titles,
-    3 an SPDX expression.  ``at`` is 0 for the file and its first lines."""
-    cut = F.filter(F.split(text, r"\n"), lambda x: F.trim(x) != "")
-    bare = lambda x: F.trim(F.regexp_replace(x, r"(?m)^[ \t]*+(?:/\*++|\*++/?|//++|#++|--++|;++|%++|<!--)?+[ \t]*+|\*/|-->|\s++", " "))
-    as_block = lambda kind, at: lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(at).alias("at"), x.alias("said"))
-    runs = F.regexp_extract_all(text, F.lit(r"(?m)(?:^[ \t]*+(?://|#|\*|/\*|--|;|%)[^\n]*+\n?+)++"), F.lit(0))
-    comments = F.regexp_extract_all(text, F.lit(r"(?s)(?:/\*.*?\*/|<!--.*?-->)"), F.lit(0))
-    paragraphs = F.split(text, r"\n[ \t\r]*\n")
-    short = lambda a: F.filter(a, lambda x: (F.length(x) <= LONGEST) & x.rlike(ANCHORS))
-    first = F.slice(cut, 1, 2)
+
+def plain(text: Column) -> Column:
+    """Lower case, and a space for whatever is beyond ASCII."""
+    return F.lower(F.regexp_replace(text, _BEYOND, " "))
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[a-z0-9]++(?:\.[0-9]++)*+"), F.lit(0))
+
+
+def parts(text: Column) -> Column:
+    """Array of (at, said) of a plain text.  ``at`` below ``OPENING`` is for
+    parts that open the file; none does if it begins with a comment."""
+    code = text.rlike(_CODE)
+    trim = lambda x: F.btrim(x, F.lit(_WHITE))
+    trimmed = lambda a: F.filter(F.transform(a, trim), lambda x: x != "")
+    put = lambda at: lambda x, i: F.struct(F.when(code, OPENING).otherwise(at(i)).alias("at"), x.alias("said"))
+    paragraphs = trimmed(F.split(text, _BLANK))
+    ends = lambda p: F.split(F.regexp_replace(F.regexp_replace(p, "[ \t\r\n]+", " "), "([.!?;]) ", "$1\n"), "\n")
+    sentences = trimmed(F.flatten(F.transform(paragraphs, ends)))
+    within = trimmed(F.split(F.regexp_replace(text, "([.!?;])[ \t]+", "$1\n"), "\n"))
+    runs = F.regexp_extract_all(text, F.lit(r"(?:(?:^|\n)[ \t]*+(?://|#|;|--|%)[^\n]*+)++"), F.lit(0))
+    comments = F.regexp_extract_all(text, F.lit(_COMMENT), F.lit(0))
+    place = lambda i: F.least(i, F.lit(OPENING))
+    first = lambda i: F.when(i == 0, 0).otherwise(OPENING)
+    never = lambda _: F.lit(OPENING)
     return F.concat(
-        F.transform(short(F.transform(F.array(text), bare)), as_block(1, 0)),
-        F.transform(short(F.transform(F.concat(runs, comments, paragraphs), bare)), as_block(1, OPENING)),
-        F.transform(short(F.transform(F.concat(first, F.array(F.array_join(first, " "))), bare)), as_block(2, 0)),
-        F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), as_block(3, OPENING)),
+        F.transform(trimmed(F.array(text)), put(first)),
+        F.transform(paragraphs, put(first)),
+        F.transform(trimmed(F.split(text, "\n")), put(place)),
+        F.transform(sentences, put(place)),
+        F.transform(within, put(place)),
+        F.transform(trimmed(F.concat(runs, comments)), put(never)),
     )
 
 
-def classify_statements(said: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, key: str = "said") -> DataFrame:
-    """(said, license, score) of each distinct statement that any template fits.
-    ``said`` is then the ``key``; copies only lengthen a vector."""
-    spark: SparkSession = said.sparkSession
-    rows, idf, other = template_vectors(templates)
-    vectors = spark.createDataFrame(rows, "n int, license string, token string, weight double")
-    weights = spark.createDataFrame(list(idf.items()), "token string, idf double")
-    low = F.translate(F.col("said"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.regexp_extract_all(low, F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
-    tf = said.select(F.expr(key).alias("said"), F.explode(words).alias("token")).groupBy("said", "token").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(F.broadcast(weights), "token", "left")
-    tf = tf.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    size = tf.groupBy("said").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = tf.join(F.broadcast(vectors), "token").groupBy("said", "n", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = dots.join(size, "said").select("said", "license", F.round(F.col("dot") / F.col("size"), 6).alias("score"))
-    best = F.max(F.struct(F.col("score"), F.col("license"))).alias("b")
-    return cosine.where(F.col("score") >= threshold).groupBy("said").agg(best).select("said", "b.license", "b.score")
+def document_frequencies(texts: DataFrame, vocab: Sequence[str]) -> dict[str, int]:
+    """How many rows of (text) have each of these tokens."""
+    found = texts.select(F.explode(F.array_intersect(tokens(plain(F.col("text"))), F.lit(list(vocab)))).alias("token"))
+    return {r.token: r.n for r in found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def classify(said: DataFrame, vectors: Vectors) -> DataFrame:
+    """(keys, license, score) of the rows of (keys..., said), one for each key,
+    that any template fits."""
+    spark = said.sparkSession
+    keys = [c for c in said.columns if c != "said"]
+    rows = spark.createDataFrame(vectors.rows, "t int, license string, token string, weight double")
+    idf = spark.createDataFrame(list(vectors.idf.items()), "token string, idf double")
+    tf = said.select(*keys, F.explode(tokens(F.col("said"))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tf.join(F.broadcast(idf), "token", "left")
+    tf = tf.withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(vectors.other)))
+    size = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    dots = tf.join(F.broadcast(rows), "token").groupBy(*keys, "t", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    cosine = dots.join(size, keys).select(*keys, "license", F.round(F.col("dot") / F.col("size"), 6).alias("score"))
+    best = F.max(F.struct("score", "license")).alias("b")
+    return cosine.where(F.col("score") >= vectors.threshold).groupBy(*keys).agg(best).select(*keys, "b.license", "b.score")
 
 
 def directory(path: Column) -> Column:
@@ -198,6 +286,48 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+_KEY = ("k1", "k2")
+
+
+def found_parts(df: DataFrame, vectors: Vectors) -> DataFrame:
+    """(row, id, path, parts, spdx) of the rows of (id, path, text): the parts
+    that a template may fit, and SPDX expressions."""
+    gate = vectors.gate_pattern()
+    fits = lambda p: p["said"].rlike(gate) & vectors.may_reach(tokens(p["said"]))
+    low, text = F.col("low"), F.col("text")
+    return df.withColumn("low", plain(text)).select(
+        F.monotonically_increasing_id().alias("row"),
+        "id",
+        "path",
+        F.when(low.rlike(gate), F.array_distinct(F.filter(parts(low), fits))).alias("parts"),
+        F.when(text.contains("SPDX-License-Identifier:"), F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))).alias("spdx"),
+    )
+
+
+def own_licenses(rows: DataFrame, vectors: Vectors, scratch: Scratch) -> DataFrame:
+    """(row, path, own_license, own_score, opens) of the rows of ``found_parts``
+    that have a license of their own."""
+    compared = rows.select("row", "path", F.explode("parts").alias("p")).select("row", "path", "p.*")
+    compared = compared.withColumns({k: F.xxhash64(F.lit(i), "said") for i, k in enumerate(_KEY)})
+    distinct = compared.groupBy(*_KEY).agg(F.first("said").alias("said"), F.count(F.lit(1)).alias("n"))
+    distinct = scratch.keep(distinct, "distinct", "zstd")
+    kinds = classify(distinct.drop("n"), vectors)
+    kinds = scratch.keep(kinds.join(distinct.select(*_KEY, "n"), list(_KEY)), "kinds")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    named = join_groups(compared.drop("said"), kinds, _KEY, "n", total).select("row", "path", "at", "license", "score")
+    stated = rows.select("row", "path", F.lit(OPENING).alias("at"), F.explode("spdx").alias("license"), F.lit(1.0).alias("score"))
+    best = F.max(F.struct("score", "license", (-F.col("at")).alias("at"))).alias("b")
+    own = named.unionByName(stated).groupBy("row", "path").agg(best)
+    return own.select("row", "path", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"), (F.col("b.at") > -OPENING).alias("opens"))
+
+
+def _above(dir_: Column) -> Column:
+    """The directory and all above it, the top included."""
+    steps = F.split(dir_, "/")
+    below = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
+    return F.concat(F.array(F.lit("")), F.when(dir_ == "", F.array().cast("array<string>")).otherwise(below))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
     """(id, path, own_license, own_score, is_license_file, license, inherited_from)
     for each row.
@@ -205,51 +335,36 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
     ``license`` is the file's own, else that of the nearest directory at or
     above its own with a license file, named in ``inherited_from``; null if
     there is none.  Of several license files in a directory the least path,
-    then license, counts.  Of a file's statements the best score counts, then
-    the greatest license name.  Null texts have no statements; null paths no
-    directory.  Repeated rows come back as often.
+    then license, counts.  Of a file's parts the best score counts, then the
+    greatest license name.  Null texts have no license of their own; null paths
+    no directory.  Repeated rows come back as often, and count as often where
+    documents are counted.  An empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "licenses")
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.select(
-        F.monotonically_increasing_id().alias("row"),
+    docs = df.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{path_col}`").cast("string").alias("path"),
-        F.when(text.rlike(MENTION), statements(text)).alias("found"),
-        F.when(text.rlike(ANCHORS), blocks(text)).alias("blocks"),
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
-    rows = scratch.keep(rows, "statements")
-    listed = rows.where(F.size("found") > 0).select("row", "path", F.explode("found").alias("s")).select("row", "path", "s.*")
-    kinds = scratch.keep(classify_statements(listed.select("said").distinct()), "kinds")
-    parts = rows.where(F.size("blocks") > 0).select("row", "path", F.explode("blocks").alias("s")).select("row", "path", "s.*")
-    of = lambda k: parts.where(F.col("kind") == k).drop("kind")
-    bodies = scratch.keep(classify_statements(of(1).select("said"), BODIES, key=KEY), "bodies")
-    titles = scratch.keep(classify_statements(of(2).select("said"), TITLES, TITLE_THRESHOLD, KEY), "titles")
-    keyed = lambda k: of(k).withColumn("said", F.expr(KEY))
-    named_all = listed.join(kinds, "said").unionByName(keyed(1).join(bodies, "said")).unionByName(keyed(2).join(titles, "said"))
-    named_all = named_all.unionByName(of(3).withColumn("license", F.col("said")).withColumn("score", F.lit(1.0)))
-    best = F.max(F.struct("score", "license", (-F.col("at")).alias("at"))).alias("b")
-    own = named_all.groupBy("row", "path").agg(best)
-    own = own.select("row", "path", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"), (F.col("b.at") > -OPENING).alias("opens"))
+    total = docs.count()
+    vectors = Vectors(document_frequencies(docs, vocabulary()), total)
+    rows = scratch.keep(found_parts(docs, vectors), "parts", "zstd")
+    own = own_licenses(rows, vectors, scratch)
     named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
     own = scratch.keep(own.withColumn("is_license_file", (F.col("opens") | named) & F.col("path").isNotNull()).drop("opens"), "own")
 
     declared = own.where("is_license_file").groupBy(directory(F.col("path")).alias("up"))
     declared = declared.agg(F.min(F.struct("path", F.col("own_license").alias("license"))).alias("d")).select("up", "d.license")
-    dirs = rows.where("path is not null").select(directory(F.col("path")).alias("dir")).distinct()
-    parts = F.split("dir", "/")
-    ups = F.concat(
-        F.array(F.lit("")),
-        F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-        ),
-    )
-    above = dirs.select("dir", F.explode(ups).alias("up")).join(declared, "up")
-    nearest = above.groupBy("dir").agg(F.max(F.struct(F.length("up"), "up", "license")).alias("m")).select("dir", "m.up", "m.license")
-    out = rows.select("row", "id", "path", directory(F.col("path")).alias("dir"))
-    out = out.join(own.drop("path"), "row", "left").join(nearest, "dir", "left")
+    dirs = scratch.keep(rows.groupBy(directory(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n")), "dirs")
+    ups = dirs.where("dir is not null").select("dir", F.explode(_above(F.col("dir"))).alias("up"))
+    below = ups.groupBy("up").agg(F.count(F.lit(1)).alias("below"))
+    declared = scratch.keep(declared.join(below, "up"), "declared")
+    above = join_groups(ups, declared, ["up"], "below", ups.count())
+    nearest = above.groupBy("dir").agg(F.max(F.struct(F.length("up"), "up", "license")).alias("m")).select(F.col("dir").alias("d"), "m.up", "m.license")
+    groups = scratch.keep(dirs.join(nearest, dirs["dir"] == nearest["d"], "left").drop("d"), "nearest")
+    out = rows.select("row", "id", "path", directory(F.col("path")).alias("dir")).join(own.drop("path"), "row", "left")
     none = F.col("own_license").isNull()
-    return out.select(
+    return join_groups(out, groups, ["dir"], "n", total).select(
         F.col("id").alias(id_col),
         "path",
         "own_license",
@@ -261,36 +376,50 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
 
 
 def oracle(path_sql: str) -> str:
-    """DuckDB SQL for ``scan`` over documents with this path."""
-    rows, idf, other = template_vectors()
-    vectors = ", ".join(f"({n}, '{k}', '{w}', {x!r}::DOUBLE)" for n, k, w, x in rows)
-    weights = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in idf.items())
-    mention = MENTION.replace("(?i)", "")
-    low = "translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    """DuckDB SQL for ``scan`` over documents with this path; without the gate."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({i}, {quote(k)}, {quote(t)})" for i, (k, t) in enumerate(TEMPLATES))
     dir_ = lambda p: f"regexp_replace({p}, '/?[^/]*$', '')"
+    list_ = lambda x: f"regexp_extract_all({x}, '{_TOKEN}')"
+    white = "' ' || chr(9) || chr(13) || chr(10)"
+    trimmed = lambda a: f"list_filter(list_transform({a}, lambda x: trim(x, {white})), lambda x: x <> '')"
+    weight = "(1 + ln(tf)) * idf"
     return rf"""
-WITH v(n, license, token, weight) AS (VALUES {vectors}),
-w(token, idf) AS (VALUES {weights}),
-r AS (SELECT row_number() OVER () AS rid, doc_id, {path_sql} AS path,
-  list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \t]+', '\1' || chr(10), 'g'), chr(10)),
-    lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents),
-s AS (SELECT rid, path, unnest(range(0, len(lines))) AS spot, unnest(lines) AS said FROM r),
-m AS (SELECT * FROM s WHERE regexp_matches(said, '{mention}', 'i')),
-tf AS (SELECT said, token, count(*) AS tf FROM (
-  SELECT said, unnest(regexp_extract_all({low}, '[a-z0-9]+(?:\.[0-9]+)*')) AS token FROM (SELECT DISTINCT said FROM m)) GROUP BY ALL),
-tw AS (SELECT said, tf.token, tf * coalesce(idf, {other!r}::DOUBLE) AS x FROM tf LEFT JOIN w USING (token)),
-z AS (SELECT said, sqrt(sum(x * x)) AS size FROM tw GROUP BY said),
-c AS (SELECT said, license, round(sum(x * weight) / any_value(size), 6) AS score
-  FROM tw JOIN v USING (token) JOIN z USING (said) GROUP BY said, n, license),
+WITH t(t, license, said) AS (VALUES {templates}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {path_sql} AS path, coalesce(text, '') AS raw,
+  lower(regexp_replace(coalesce(text, ''), '{_BEYOND}', ' ', 'g')) AS low FROM documents),
+tt AS (SELECT t, license, token, count(*) AS tf FROM (SELECT t, license, unnest({list_("lower(said)")}) AS token FROM t) GROUP BY ALL),
+n AS (SELECT (SELECT count(*) FROM d) + (SELECT count(*) FROM t) AS n),
+df AS (SELECT token, count(*) AS df FROM (SELECT rid, unnest(list_distinct({list_("low")})) AS token FROM d UNION ALL SELECT t, token FROM tt)
+  WHERE token IN (SELECT token FROM tt) GROUP BY token),
+idf AS (SELECT token, 1 + ln(1 / greatest(df / n::DOUBLE, {RAREST}::DOUBLE)) AS idf FROM df, n),
+o AS (SELECT 1 + ln(1 / greatest(1 / n::DOUBLE, {RAREST}::DOUBLE)) AS other FROM n),
+tw AS (SELECT t, license, token, {weight} AS x FROM tt JOIN idf USING (token)),
+v AS (SELECT t, license, token, x / sqrt(sum(x * x) OVER (PARTITION BY t)) AS x FROM tw),
+g AS (SELECT *, regexp_matches(low, '{_CODE}') AS code, {trimmed(f"string_split_regex(low, '{_BLANK}')")} AS paragraphs FROM d),
+p AS (SELECT rid, path, code, 'first' AS kind, {trimmed("[low]")} AS a FROM g
+  UNION ALL SELECT rid, path, code, 'first', paragraphs FROM g
+  UNION ALL SELECT rid, path, code, 'place', {trimmed("string_split(low, chr(10))")} FROM g
+  UNION ALL SELECT rid, path, code, 'place', {trimmed(r"flatten(list_transform(paragraphs, lambda y: string_split(regexp_replace(regexp_replace(y, '[ \t\r\n]+', ' ', 'g'), '([.!?;]) ', '\1' || chr(10), 'g'), chr(10))))")} FROM g
+  UNION ALL SELECT rid, path, code, 'place', {trimmed(r"string_split(regexp_replace(low, '([.!?;])[ \t]+', '\1' || chr(10), 'g'), chr(10))")} FROM g
+  UNION ALL SELECT rid, path, true, 'place', {trimmed(f"regexp_extract_all(low, '{_RUN}') || regexp_extract_all(low, '{_COMMENT}')")} FROM g),
+u AS (SELECT rid, path, code, kind, unnest(range(0, len(a))) AS i, unnest(a) AS said FROM p),
+m AS (SELECT rid, path, said, CASE WHEN code THEN {OPENING} WHEN kind = 'first' THEN CASE WHEN i = 0 THEN 0 ELSE {OPENING} END ELSE least(i, {OPENING}) END AS spot FROM u),
+tf AS (SELECT said, token, count(*) AS tf FROM (SELECT said, unnest({list_("said")}) AS token FROM (SELECT DISTINCT said FROM m)) GROUP BY ALL),
+w AS (SELECT said, tf.token, (1 + ln(tf)) * coalesce(idf, other) AS x FROM tf LEFT JOIN idf USING (token), o),
+z AS (SELECT said, sqrt(sum(x * x)) AS size FROM w GROUP BY said),
+c AS (SELECT said, license, round(sum(w.x * v.x) / any_value(size), 6) AS score FROM w JOIN v USING (token) JOIN z USING (said) GROUP BY said, t, license),
 k AS (SELECT said, max({{'score': score, 'license': license}}) AS b FROM c WHERE score >= {THRESHOLD} GROUP BY said),
-own AS (SELECT rid, path, max({{'score': b.score, 'license': b.license, 'spot': -spot}}) AS o FROM m JOIN k USING (said) GROUP BY rid, path),
+e AS (SELECT rid, path, b.score AS score, b.license AS license, -spot AS spot FROM m JOIN k USING (said)
+  UNION ALL SELECT rid, path, 1.0, unnest(regexp_extract_all(raw, '{SPDX}', 1)), -{OPENING} FROM d),
+own AS (SELECT rid, path, max({{'score': score, 'license': license, 'spot': spot}}) AS o FROM e GROUP BY rid, path),
 own2 AS (SELECT rid, path, o.license AS own_license, o.score AS own_score,
   path IS NOT NULL AND (o.spot > -{OPENING} OR regexp_matches(path, '{FILE_NAMES.replace("(?i)", "")}', 'i')) AS is_license_file FROM own),
-d AS (SELECT {dir_('path')} AS up, min({{'path': path, 'license': own_license}}).license AS license
+f AS (SELECT {dir_('path')} AS up, min({{'path': path, 'license': own_license}}).license AS license
   FROM own2 WHERE is_license_file GROUP BY 1),
-q AS (SELECT r.*, {dir_('path')} AS dir FROM r),
-a AS (SELECT q.rid, max({{'n': length(up), 'up': up, 'license': d.license}}) AS x
-  FROM q JOIN d ON up = '' OR up = dir OR starts_with(dir, up || '/') GROUP BY q.rid)
+q AS (SELECT d.*, {dir_('path')} AS dir FROM d),
+a AS (SELECT q.rid, max({{'n': length(up), 'up': up, 'license': f.license}}) AS x
+  FROM q JOIN f ON up = '' OR up = dir OR starts_with(dir, up || '/') GROUP BY q.rid)
 SELECT q.doc_id, q.path, own_license, own_score, coalesce(is_license_file, false) AS is_license_file,
   coalesce(own_license, x.license) AS license, CASE WHEN own_license IS NULL THEN x.up END AS inherited_from
 FROM q LEFT JOIN own2 USING (rid) LEFT JOIN a USING (rid)
