@@ -12,6 +12,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 KEY = ("_key", "_key2")
+#: Keys of dropped rows that are broadcast, 16 bytes each; if there are more,
+#: texts are shuffled to them.
+MOST_GONE = 1 << 20
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -22,6 +25,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = F.broadcast(gone) if gone.count() <= MOST_GONE else gone
     return _keyed(docs).join(gone, list(KEY), "left_anti").drop(*KEY)
 
 
