@@ -8,8 +8,9 @@ wider ones outside base spans by their own check, which may also leave open what
 they are.  Each wider pattern has a threshold, calibrated for precision on the
 half of the documents that the trees have not seen.  Candidates from it on that
 fail no check and touch no base span are added, the likeliest first
-and none that overlaps one already added.  A pattern without positive examples there has no threshold:
-of its candidates those that pass their check are added.
+and none that overlaps one already added.  A pattern without positive examples
+there, or with too few of any kind, has no threshold: of its candidates those
+that pass their check are added.
 
 The text passes through the patterns once.  What goes on is gaps, matches and a
 few characters of context; offsets are running sums over a document's matches.
@@ -39,10 +40,11 @@ GENERATORS = (
     ("phone", "phone", r"\+[0-9][\x20().0-9-]+[0-9]", True),
     ("email_spelt", "email", _LOCAL + r" ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++", False),
     ("email_local", "email", _LOCAL + r"@[A-Za-z0-9-]++(?!\.?[A-Za-z0-9-])", False),
-    ("ip_v6", "ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", False),
+    ("ip_v6", "ip", r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}+[0-9A-Fa-f]{1,4}+|(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+)?+::(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+)?+)(?![0-9A-Za-z:])", False),
     ("card_dots", "card", r"(?<![0-9.])[0-9]{4}(?:[. -][0-9]{4}){2,3}(?:[. -][0-9]{1,3})?(?![0-9])", False),
     ("phone_local", "phone", r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|00[1-9][0-9]{0,2}[ .-]|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])", False),
-    ("secret", "secret", r"(?i)(?<![A-Za-z])(?:api[_-]?key|key|token|secret|password|passwd)[ ]?[:=][ ]?[\"']?[A-Za-z0-9+/_=-]{12,200}", False),
+    ("secret", "secret", r"(?i)(?<![A-Za-z])(?:api[_-]?key|key|token|secret|password|passwd)[ ]?[:=][ ]?[\"']?[A-Za-z0-9+/_=-]{12,}+", False),
+    ("card_fours", "card", r"(?<![0-9.])[0-9]{4}(?:[. -][0-9]{4}){3}(?![0-9])", False),
 )
 CONTEXT = (
     r"(?i)(?:mail|contact|@)\W*$",
@@ -55,6 +57,8 @@ LEVELS = {"gen": len(GENERATORS), "digits": 8, "size": 8, "marks": 4, "context":
 ROUNDS = 24
 RATE = 0.3
 PRECISION = 0.95
+#: Fewer examples of a wider pattern say nothing about its precision.
+LEAST = 20
 #: Put around matches; in a text it is read as another character that no pattern knows.
 _MARK, _OTHER = "\x01", "\x02"
 
@@ -109,8 +113,13 @@ def _check(gen: Column, hit: Column, context: Column) -> Column:
     return (
         F.when(gen == 4, hit.rlike(r"(?i)[\[(]dot[\])] ?[a-z0-9-]*[a-z]{2}|\.[a-z]{2,}$"))
         .when(gen == 5, F.when(hit.rlike("^[0-9.]+@|@[0-9-]+$"), False).when(context == 1, True))
-        .when(gen == 6, F.when(hit.rlike("^(?:..?:)*..?$"), False).when(hit.rlike("[A-Fa-f]"), True))
-        .when(gen == 7, n.between(12, 19) & ~digits.rlike(r"^(.)\1*$") & _luhn(digits))
+        .when(
+            gen == 6,
+            F.when(hit.contains("::"), hit.rlike("[0-9]") & F.size(F.regexp_extract_all(hit, F.lit("[0-9A-Fa-f]+"), F.lit(0))).between(3, 7))
+            .when(hit.rlike("^(?:..?:)*..?$"), False)
+            .when(hit.rlike("[A-Fa-f]"), True),
+        )
+        .when(gen.isin(7, 10), n.between(12, 19) & ~digits.rlike(r"^(.)\1*$") & _luhn(digits))
         .when(
             gen == 8,
             F.when(~n.between(9, 15) | elsewhere, False).when(
@@ -138,9 +147,9 @@ def _context(before: Column) -> Column:
 
 
 def candidates(df: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, candidates).  Documents: (row, id); candidates: (row, gen,
-    start, end, valid, check, features).  ``row`` is a number for each row of ``df``,
-    drawn once and kept."""
+    """(documents, candidates).  Documents: (row, id); candidates: (row, half,
+    gen, start, end, valid, check, features).  ``row`` is a number for each row
+    of ``df``, drawn once and kept; ``half`` is told by the text alone."""
     text = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), _MARK, _OTHER)
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     found = F.array(
@@ -150,12 +159,13 @@ def candidates(df: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> t
             for need in [r"[0-9@]" if name not in ("email_spelt", "secret") else r"(?i)[\[(]at[\])]|[:=]"]
         ]
     )
-    kept = scratch.keep(rows.select("row", "id", found.alias("found")), "matches")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")
+    kept = scratch.keep(rows.select("row", "id", half, found.alias("found")), "matches")
     hits = (
         kept.where(F.exists("found", lambda x: F.size(x) > 0))
-        .select("row", F.posexplode("found").alias("gen", "list"))
-        .select("row", "gen", F.posexplode("list").alias("seq", "m"))
-        .select("row", "gen", "seq", "m.*")
+        .select("row", "half", F.posexplode("found").alias("gen", "list"))
+        .select("row", "half", "gen", F.posexplode("list").alias("seq", "m"))
+        .select("row", "half", "gen", "seq", "m.*")
     )
     order = Window.partitionBy("row", "gen").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("hit")).over(order)
@@ -166,6 +176,7 @@ def candidates(df: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> t
     hits = hits.withColumn("context", _context(F.col("before")))
     hits = hits.select(
         "row",
+        "half",
         "gen",
         "start",
         "end",
@@ -267,9 +278,10 @@ class Trees:
 def _cuts(seen: list[tuple[float, float, float]]) -> tuple[float, float]:
     """Of a wider pattern, by (margin, positives, others) of examples: the
     margins from which candidates that pass their check, and those whose check
-    leaves it open, are taken.  No positives: the check alone decides.  A
-    pattern that is precise enough as a whole loses none that pass."""
-    if not any(p for _, p, _ in seen):
+    leaves it open, are taken.  No positives, or too few examples: the check
+    alone decides.  A pattern that is precise enough as a whole loses none that
+    pass."""
+    if not any(p for _, p, _ in seen) or sum(p + q for _, p, q in seen) < LEAST:
         return -math.inf, math.inf
     at: dict[float, list[float]] = {}
     for m, p, q in seen:
@@ -288,8 +300,7 @@ def _train(hits: DataFrame) -> tuple[list[Trees], dict[int, tuple[float, float]]
     """Trees of each kind and the ``_cuts`` of each wider pattern."""
     names = list(LEVELS)
     label = F.when(_strict(F.col("gen")), F.col("valid")).when(~F.col("touches"), F.col("check")).cast("int")
-    half = F.pmod(F.xxhash64("row"), F.lit(2)).alias("half")
-    table = hits.select(*names, label.alias("y"), half).where("y is not null")
+    table = hits.select(*names, label.alias("y"), "half").where("y is not null")
     table = table.groupBy(*names, "half").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).collect()
     table = sorted(table, key=lambda r: tuple(r))
     rows = [(tuple(r[n] for n in names), float(r.pos), float(r.n - r.pos), r.half) for r in table]
@@ -362,13 +373,14 @@ def spelt(spans: Column) -> Column:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with every span of ``find`` replaced by its kind in brackets.
 
-    Ids must be distinct.  Spans of one text that overlap are merged.
+    Spans of one text that overlap are merged.  Null texts come back empty, null
+    and repeated ids with their rows; an empty table gives an empty result.
     """
-    found = find(df, id_col, text_col).select(
-        F.col(id_col).alias("_id"), F.array_sort(F.concat("base", "added")).alias("spans")
-    )
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(found, F.col("id").eqNullSafe(F.col("_id")))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    rows = Scratch(df.sparkSession, "redact").keep(rows, "rows")
+    found = find(rows, "_row").select("_row", F.array_sort(F.concat("base", "added")).alias("spans"))
+    rows = rows.join(found, "_row")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     text = F.col("text")
 

@@ -46,6 +46,8 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         *counts,
         F.sha2(pii.spelt(F.col("base")), 256).alias("base_sha256"),
         pii.spelt(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
+        F.size(F.filter("added", _of_kind(pii.KINDS.index("secret")))).cast("long").alias("n_secret"),
     )
 
 
