@@ -3,10 +3,12 @@
 A k-mer of code points is a closed syncmer if the least of its s-mers, by hash,
 is its first or its last.  Whether it is depends on its own characters alone,
 so an edit moves no anchor that does not overlap it.  ``anchors`` returns the
-syncmers with their places, for positional matching.  ``sketch`` keeps for each
-of ``SLOTS`` classes of syncmers the least hash (one-permutation minwise
-hashing); the share of slots in which two sketches agree, among those that
-either fills, estimates the Jaccard likeness of the texts' syncmer sets.
+syncmers with their places.  ``align`` matches those of two texts by hash and
+place: runs of neighbours that keep their distance are shared passages, wherever
+they lie.  ``sketch`` keeps for each of ``SLOTS`` classes of syncmers the least
+hash (one-permutation minwise hashing); the share of slots in which two sketches
+agree, among those that either fills, estimates the Jaccard likeness of the
+texts' syncmer sets.
 """
 
 from __future__ import annotations
@@ -77,14 +79,58 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(hashes)
 
 
-def sketch(text: str, k: int = K, s: int = S, slots: int = SLOTS) -> np.ndarray:
-    """``slots`` 16-bit values; 0 marks a slot without a syncmer.
+Anchors = tuple[np.ndarray, np.ndarray]
+
+
+def _turns(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash, the hashes in it, and how many equal ones came before."""
+    order = np.argsort(hashes, kind="stable")
+    sorted_ = hashes[order]
+    return order, sorted_, np.arange(len(sorted_)) - np.searchsorted(sorted_, sorted_)
+
+
+def align(a: Anchors, b: Anchors, size: int, k: int = K) -> list[tuple[int, int, int]]:
+    """Passages that two texts share: (start in a, start in b, length), in order
+    of the first.  ``size`` is the length of the first text.
+
+    The n-th anchor of a hash meets the n-th of the other text; neighbours in
+    both that lie equally far apart belong to one passage.  No pair of repeated
+    anchors is tried twice, so the work is that of sorting them.
+    """
+    (order_a, hash_a, turn_a), (order_b, hash_b, turn_b) = _turns(a[1]), _turns(b[1])
+    at = np.searchsorted(hash_b, hash_a) + turn_a
+    met = at < len(hash_b)
+    met[met] = hash_b[at[met]] == hash_a[met]
+    i, j = order_a[met], order_b[at[met]]
+    by = np.argsort(i)
+    i, j = i[by], j[by]
+    if not len(i):
+        return []
+    shift = b[0][j] - a[0][i]
+    apart = (np.diff(i) != 1) | (np.diff(j) != 1) | (np.diff(shift) != 0)
+    first = np.concatenate([[0], np.flatnonzero(apart) + 1])
+    last = np.concatenate([first[1:] - 1, [len(i) - 1]])
+    starts, ends = a[0][i[first]], np.minimum(a[0][i[last]] + k, size)
+    return list(zip(starts.tolist(), (starts + shift[first]).tolist(), (ends - starts).tolist(), strict=True))
+
+
+def covered(passages: list[tuple[int, int, int]]) -> int:
+    """Code points of the first text that lie in any passage."""
+    out = end = 0
+    for start, _, length in passages:
+        out += max(0, start + length - max(start, end))
+        end = max(end, start + length)
+    return out
+
+
+def sketch(found: Anchors, slots: int = SLOTS) -> np.ndarray:
+    """``slots`` 16-bit values of a text's anchors; 0 marks a slot without one.
 
     A slot's value is drawn from its least hash by mixing, so two different
     least hashes agree by chance once in 65,535.
     """
     least = np.full(slots, ~np.uint64(0))
-    hashes = anchors(text, k, s)[1]
+    hashes = found[1]
     np.minimum.at(least, (hashes % np.uint64(slots)).astype(np.int64), hashes)
     values = (_mix(least) % np.uint64(0xFFFF) + np.uint64(1)).astype(np.uint16)
     return np.where(least == ~np.uint64(0), np.uint16(0), values)
@@ -109,21 +155,28 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-_PAIR = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_PAIR = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "aligned_edited", "aligned_next"]
 
 
-def _compare(text: str, own: np.ndarray, following: str, next_: np.ndarray) -> tuple:
+def _compare(text: str, own: tuple[Anchors, np.ndarray], following: str, next_: tuple[Anchors, np.ndarray]) -> tuple:
     new = _edited(text, following)
-    changed = sketch(new)
+    found = anchors(new)
+    changed = sketch(found)
     sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
     return (
-        len(text), sha, fingerprint(own), fingerprint(changed), likeness(own, changed), likeness(own, next_),
+        len(text), sha, fingerprint(own[1]), fingerprint(changed), likeness(own[1], changed), likeness(own[1], next_[1]),
+        covered(align(own[0], found, len(text))), covered(align(own[0], next_[0], len(text))),
     )
 
 
+def _taken(text: str) -> tuple[Anchors, np.ndarray]:
+    found = anchors(text)
+    return found, sketch(found)
+
+
 def _record(ids: list, rows: list[tuple], id_type: pa.DataType, part: int, edge: list, texts: list) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_PAIR)
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, id_type),
@@ -151,7 +204,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, rows = [], []
             for i, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                 text = t or ""
-                now = (i, text, sketch(text))
+                now = (i, text, _taken(text))
                 if held is None:
                     yield _record([i], [nothing], id_type, part, ["first"], [text])
                 else:
@@ -169,13 +222,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, following in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             text, following = text or "", following or ""
-            rows.append(_compare(text, sketch(text), following, sketch(following)))
+            rows.append(_compare(text, _taken(text), following, _taken(following)))
         full = _record(ids.to_pylist(), rows, ids.type, 0, [None] * len(ids), [None] * len(ids))
         yield full.select(["id", *_PAIR])
 
 
 def _schema(id_field: T.StructField, whole: bool) -> T.StructType:
-    kinds = [T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType()]
+    kinds = [T.LongType(), *[T.StringType()] * 3, *[T.DoubleType()] * 2, *[T.LongType()] * 2]
     fields = [id_field, *(T.StructField(n, k) for n, k in zip(_PAIR, kinds, strict=True))]
     rest = [("part", T.IntegerType()), ("edge", T.StringType()), ("text", T.StringType())]
     return T.StructType(fields + [T.StructField(n, k) for n, k in rest if whole])
@@ -187,12 +240,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = [anchors(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([fingerprint(sketch(t)) for t in texts], pa.string()),
-                    pa.array([len(anchors(t)[0]) for t in texts], pa.int64()),
+                    pa.array([fingerprint(sketch(x)) for x in found], pa.string()),
+                    pa.array([len(x[0]) for x in found], pa.int64()),
                 ],
                 ["id", "fingerprint", "n_anchors"],
             )
@@ -202,7 +255,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's fingerprint beside that of its edited text and its successor's.
+    """Each row's fingerprint beside that of its edited text and its successor's:
+    how alike they are, and how many code points of the text lie in passages that
+    it shares with the other, by their anchors' places.
 
     Successors follow in descending id, null ids last, rows of one id by a hash
     of the text; the first row follows the last.  The edited text has its last

@@ -34,9 +34,84 @@ def test_closed_syncmers(monkeypatch):
 
 def test_short_and_equal():
     for t in ["", "a", "short text", "é" * 15, "x" * 16, "x" * 100_000]:
-        assert (y.sketch(t) == y.sketch(t)).all() and y.likeness(y.sketch(t), y.sketch(t)) == 1.0
-        assert (y.parse(y.fingerprint(y.sketch(t))) == y.sketch(t)).all()
-    assert y.likeness(y.sketch(""), y.sketch("abc")) == 0.0
+        x = y.sketch(y.anchors(t))
+        assert y.likeness(x, y.sketch(y.anchors(t))) == 1.0 and (y.parse(y.fingerprint(x)) == x).all()
+        assert y.covered(y.align(y.anchors(t), y.anchors(t), len(t))) >= len(t) - 2 * y.K * (len(t) > y.K)
+    assert y.likeness(y.sketch(y.anchors("")), y.sketch(y.anchors("abc"))) == 0.0
+
+
+MASK = (1 << 64) - 1
+
+
+def slow_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def slow_hash(text):
+    out = 0
+    for ch in text:
+        out = (out * 0x9E3779B97F4A7C15 + ord(ch)) & MASK
+    return slow_mix(out)
+
+
+def slow_sets(text):
+    """Places and hashes of the closed syncmers, in whole numbers."""
+    if len(text) < y.K:
+        return [(0, slow_hash(text))] if text else []
+    small = [slow_hash(text[i : i + y.S]) for i in range(len(text) - y.S + 1)]
+    n = y.K - y.S + 1
+    return [(i, slow_hash(text[i : i + y.K])) for i in range(len(text) - y.K + 1) if min(small[i : i + n]) in (small[i], small[i + n - 1])]
+
+
+def slow_sketch(text):
+    least = {}
+    for _, h in slow_sets(text):
+        least[h % 128] = min(h, least.get(h % 128, h))
+    return [slow_mix(least[i]) % 0xFFFF + 1 if i in least else 0 for i in range(128)]
+
+
+def slow_likeness(a, b):
+    filled = [(x, z) for x, z in zip(a, b, strict=True) if x or z]
+    return sum(x == z for x, z in filled) / len(filled) if filled else 1.0
+
+
+def test_sketch_and_its_error():
+    rng = random.Random(7)
+    off = []
+    for _ in range(60):
+        a = "".join(rng.choice("abcdefgh é\n🙂") for _ in range(rng.choice([0, 5, 30, 600])))
+        cut = rng.randint(0, len(a))
+        b = a[:cut] + "".join(rng.choice("abcdefgh é") for _ in range(rng.choice([0, 9, 200])))
+        for t in (a, b):
+            assert y.anchors(t)[1].tolist() == [h for _, h in slow_sets(t)]
+            assert y.sketch(y.anchors(t)).tolist() == slow_sketch(t)
+        got = y.likeness(y.sketch(y.anchors(a)), y.sketch(y.anchors(b)))
+        assert got == slow_likeness(slow_sketch(a), slow_sketch(b))
+        s, t = ({h for _, h in slow_sets(x)} for x in (a, b))
+        off.append(abs(got - (len(s & t) / len(s | t) if s | t else 1.0)))
+    assert np.mean(off) < 0.03 and max(off) < 0.15
+
+
+def test_alignment_against_brute_force():
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    for _ in range(40):
+        shared = [say(rng.randint(60, 300)) for _ in range(3)]
+        a = "".join([say(rng.randint(0, 90)), shared[0], say(50), shared[1], say(9), shared[2]])
+        b = "".join([shared[2], say(rng.randint(0, 200)), shared[0], say(30), shared[1]])
+        found = y.align(y.anchors(a), y.anchors(b), len(a))
+        for i, j, n in found:
+            assert a[i : i + n] == b[j : j + n] and n >= y.K
+        for part in shared:  # each is found but for what lies before its first and after its last anchor
+            i, j = a.index(part), b.index(part)
+            inside = [(s, e, n) for s, e, n in found if s < i + len(part) and s + n > i and e - s == j - i]
+            assert sum(n for *_, n in inside) >= len(part) - 2 * y.K
+        real = sum(any(a[p - o : p - o + y.K] in b for o in range(y.K) if 0 <= p - o <= len(a) - y.K) for p in range(len(a)))
+        assert y.covered(found) <= real
+    loop = "w " * 5000
+    assert y.covered(y.align(y.anchors(loop), y.anchors("x" + loop), len(loop))) > 9900
 
 
 def brute(docs):
@@ -46,10 +121,11 @@ def brute(docs):
         t, u = t or "", u or ""
         n = len(t) // 2
         new = t[: len(t) - n] + u[:n]
-        out[i] = (
-            len(t), hashlib.sha256(new.encode()).hexdigest(), y.fingerprint(y.sketch(t)), y.fingerprint(y.sketch(new)),
-            y.likeness(y.sketch(t), y.sketch(new)), y.likeness(y.sketch(t), y.sketch(u)),
-        )
+        x, z, w = (slow_sketch(v) for v in (t, new, u))
+        spelt = ["".join(f"{v:04x}" for v in part) for part in (x, z)]
+        kept = [y.covered(y.align(y.anchors(t), y.anchors(v), len(t))) for v in (new, u)]
+        assert kept[0] >= len(t) - n - 2 * y.K
+        out[i] = (len(t), hashlib.sha256(new.encode()).hexdigest(), *spelt, slow_likeness(x, z), slow_likeness(x, w), *kept)
     return out
 
 
