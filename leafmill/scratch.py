@@ -47,6 +47,14 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_BATCH_SETTING, before)
 
 
+def partitions_for(df: DataFrame, size: int = 128 << 20) -> int:
+    """Partitions for a shuffle of whole rows of ``df``: the session's number,
+    or one for each ``size`` bytes that its files hold, if these are more."""
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-held // size)) if held < 1 << 60 else usual  # unknown sizes are given as huge
+
+
 class Scratch:
     """A set of tables under one fresh folder of the shared directory.
 

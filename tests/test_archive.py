@@ -95,3 +95,13 @@ def test_config_registry_and_cli(tmp_path, capsys):
     f.write_text("hello")
     assert cli.main(["parse", str(f), "--json"]) == 0 and json.loads(capsys.readouterr().out)["blocks"] == 1
     assert cli.main(["parse", str(tmp_path / "c.yaml")]) == 1 and cli.main(["parse", str(f), "--config", str(p)]) == 2
+
+
+def test_partitions_follow_the_size_of_the_input(spark, tmp_path):
+    from leafmill.scratch import partitions_for
+
+    path = str(tmp_path / "t")
+    spark.range(50_000).selectExpr("id", "uuid() as u").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert partitions_for(df) == 4 and partitions_for(df, 100_000) > 10
+    assert partitions_for(spark.createDataFrame([(1,)], "a int")) == 4
