@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from leafmill.scratch import Scratch
 
 WINDOW = 13
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Phrases searched in one pass over the index; more take further passes.
 PHRASES_PER_PASS = 200_000
 GAP = 64

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.scratch import Scratch
+from leafmill.scratch import Scratch, partitions_for
 
 K = 16
 S = 6
@@ -270,7 +270,7 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(df.sparkSession, "syncmers")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(partitions_for(df), *order).sortWithinPartitions(*order)
     done = scratch.keep(dealt.mapInArrow(_within, _schema(rows.schema["id"], True)), "partitions", "zstd")
     ends = done.where("edge is not null")
     # One number for each partition that has rows; the text itself stays put.

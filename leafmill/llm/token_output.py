@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm import rans
-from leafmill.scratch import Scratch
+from leafmill.scratch import Scratch, partitions_for
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
@@ -314,7 +314,7 @@ def write(
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     order = [F.col("id").asc_nulls_last(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(partitions_for(df), *order).sortWithinPartitions(*order)
     return scratch.keep(dealt.mapInArrow(_writer(tokenizer, end, size), _file_schema(rows.schema["id"].dataType)), name, "none")
 
 
