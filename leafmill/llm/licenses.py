@@ -182,6 +182,16 @@ def vocabulary(templates: Sequence = TEMPLATES) -> list[str]:
     return sorted({w for _, t in templates for w in tokens_of(t)})
 
 
+def any_of(words: Sequence[str]) -> str:
+    """A pattern for any of these words that looks at each letter once."""
+    heads = sorted({w[0] for w in words if w})
+    if not heads:
+        return "" if words else "(?!)"
+    branches = [re.escape(h) + any_of([w[1:] for w in words if w[:1] == h]) for h in heads]
+    one = branches[0] if len(branches) == 1 and "" not in words else f"(?:{'|'.join(branches)})"
+    return one + "?" * ("" in words)
+
+
 class Vectors:
     """Weights of the templates, and what passes the gate."""
 
@@ -194,6 +204,7 @@ class Vectors:
         self.idf = {w: 1 + math.log(1 / max((df.get(w, 0) + k) / total, RAREST)) for w, k in have.items()}
         self.other = 1 + math.log(1 / max(1 / total, RAREST))
         self.rows: list[tuple[int, str, str, float]] = []
+        self.seen = {w for w, k in df.items() if k}
         self.gate: set[str] = set()
         for i, c in enumerate(counts):
             weights = {w: (1 + math.log(k)) * self.idf[w] for w, k in c.items()}
@@ -207,20 +218,29 @@ class Vectors:
                 left -= weights[w] ** 2
 
     def gate_pattern(self) -> str:
-        return rf"(?<![a-z0-9])(?:{'|'.join(re.escape(w) for w in sorted(self.gate))})(?![a-z0-9])"
+        """Words that no document has need not be looked for."""
+        return rf"(?<![a-z0-9])(?:{any_of(sorted(self.gate & self.seen))})(?![a-z0-9])"
 
-    def may_reach(self, tokens: Column) -> Column:
+    def may_reach(self, said: Column) -> Column:
         """False only for parts that no template can fit.  With k different
         shared tokens, m of them in all, a vector's shared part has a squared
         length of k (1 + ln(m / k))**2 times the greatest squared weight at
         most, as the squares of 1 + ln are concave; each other token adds its
         square to the whole."""
-        kinds = F.array_distinct(tokens)
-        shared = F.size(F.array_intersect(kinds, F.lit(sorted(self.idf))))
-        others = F.size(kinds) - shared
-        log = 1 + F.log((F.size(tokens) - others) / F.greatest(shared, F.lit(1)))
         most = max(self.idf.values()) ** 2 * (1 / (self.threshold - 1e-5) ** 2 - 1)
-        return (shared > 0) & (others * self.other**2 <= shared * log * log * most)
+        vocab = F.lit(sorted(self.idf))
+
+        def fits(t: Column) -> Column:
+            shared, others = t["shared"], t["kinds"] - t["shared"]
+            log = 1 + F.log((t["all"] - others) / F.greatest(shared, F.lit(1)))
+            return (shared > 0) & (others * self.other**2 <= shared * log * log * most)
+
+        # Each step binds what it has computed as an element of an array.
+        lists = F.transform(F.array(tokens(said)), lambda t: F.struct(F.size(t).alias("all"), F.array_distinct(t).alias("kinds")))
+        sizes = F.transform(
+            lists, lambda t: F.struct(t["all"].alias("all"), F.size(t["kinds"]).alias("kinds"), F.size(F.array_intersect(t["kinds"], vocab)).alias("shared"))
+        )
+        return F.exists(sizes, fits)
 
 
 def plain(text: Column) -> Column:
@@ -293,13 +313,13 @@ def found_parts(df: DataFrame, vectors: Vectors) -> DataFrame:
     """(row, id, path, parts, spdx) of the rows of (id, path, text): the parts
     that a template may fit, and SPDX expressions."""
     gate = vectors.gate_pattern()
-    fits = lambda p: p["said"].rlike(gate) & vectors.may_reach(tokens(p["said"]))
+    fits = lambda p: p["said"].rlike(gate) & vectors.may_reach(p["said"])
     low, text = F.col("low"), F.col("text")
     return df.withColumn("low", plain(text)).select(
         F.monotonically_increasing_id().alias("row"),
         "id",
         "path",
-        F.when(low.rlike(gate), F.array_distinct(F.filter(parts(low), fits))).alias("parts"),
+        F.when(low.rlike(gate), F.filter(F.array_distinct(parts(low)), fits)).alias("parts"),
         F.when(text.contains("SPDX-License-Identifier:"), F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))).alias("spdx"),
     )
 
