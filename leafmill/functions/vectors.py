@@ -22,18 +22,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error("vectors of different lengths").cast("double"))
 
 
-def _bytes(digest: Column) -> Column:
-    """The 32 bytes of a hexadecimal digest, as numbers between -0.5 and 0.5."""
-    pair = lambda i: digest.substr(i * 2 + 1, F.lit(2))
-    return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(pair(i), 16, 10).cast("double") / 255 - 0.5)
+def _bytes(digests: Column) -> Column:
+    """The bytes of hexadecimal digests, as numbers between -0.5 and 0.5.  Each
+    digest is an element of an array, so that it is computed once."""
+    pair = lambda d, i: F.conv(d.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("double")
+    return F.flatten(F.transform(digests, lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: pair(d, i) / 255 - 0.5)))
 
 
-def hash_embedding(text: Column, dim: int = 8, unit: bool = True) -> Column:
+def unit(vector: Column) -> Column:
+    """Scaled to length one; a zero vector as it is.  The vector is bound as an
+    element of an array, and its length beside it, so both are computed once."""
+    bound = F.transform(F.array(vector), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    scaled = F.transform(bound, lambda s: F.when(s["n"] == 0, s["v"]).otherwise(F.transform(s["v"], lambda x: x / s["n"])))
+    return F.get(scaled, F.lit(0))
+
+
+def hash_embedding(text: Column, dim: int = 8, scaled: bool = True) -> Column:
     """A deterministic stand-in for an embedding service: bytes of SHA-256 of
     the text and a counter, centred, and scaled to length one."""
-    raw = F.flatten(F.array(*[_bytes(F.sha2(F.concat(text, F.lit(f":{k}")), 256)) for k in range(-(-dim // 32))]))
-    vector = F.slice(raw, 1, dim)
-    if not unit:
-        return vector
-    size = F.when(norm(vector) == 0, F.lit(1.0)).otherwise(norm(vector))
-    return F.transform(vector, lambda x: x / size)
+    digests = F.array(*[F.sha2(F.concat(text, F.lit(f":{k}")), 256) for k in range(-(-dim // 32))])
+    vector = F.slice(_bytes(digests), 1, dim)
+    return unit(vector) if scaled else vector

@@ -3,7 +3,7 @@
 Every search takes and returns DataFrames; ties are broken by id.  A batch of
 queries is one plan: postings are joined to query terms on the term, so the
 corpus is read once for all of them and nothing is compared pair by pair except
-dense vectors, where queries are broadcast after a check of their size.
+dense vectors and substrings, where blocks of queries are sent to the rows.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions import lexical, vectors
+from leafmill.functions import lexical
+from leafmill.operators.dense import blocks, nearest
 from leafmill.operators.filters import Filters, chunk_predicate, in_documents, profile_predicate
+from leafmill.scratch import Scratch
 
 K1, B = 1.5, 0.75
 RRF_K = 60
-#: Query vectors that a dense search may broadcast.
+#: Queries of a substring search in one pass; more take further passes.
 MOST_QUERIES = 10_000
 #: Distinct query terms that a lexical search may broadcast.
 MOST_TERMS = 200_000
@@ -50,23 +52,20 @@ def _candidates(chunks: DataFrame, filters: Filters | None, doc_ids) -> DataFram
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, filters: Filters | None = None, doc_ids=None, text: str = "text") -> DataFrame:
     """Okapi BM25 of ``queries`` (query_id, query): (query_id, chunk_id, score,
     rank).  Frequencies and lengths are those of the filtered candidates."""
-    rows = _candidates(chunks, filters, doc_ids)
-    listed = rows.select("chunk_id", lexical.terms(F.col(text)).alias("terms"))
-    whole = listed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.size("terms"), F.lit(1))).alias("avgdl"))
-    asked = queries.select("query_id", F.explode(lexical.query_terms(F.col("query"))).alias("term"))
-    wanted = small(asked.select("term").distinct(), MOST_TERMS)
-    # Other terms go before anything is shuffled; each chunk keeps its length.
-    tf = (
-        listed.select("chunk_id", F.greatest(F.size("terms"), F.lit(1)).alias("dl"), F.explode("terms").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("chunk_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    scratch = Scratch(chunks.sparkSession, "bm25")
+    asked = scratch.keep(queries.select("query_id", F.explode(lexical.query_terms(F.col("query"))).alias("term")), "asked")
+    # The empty term, which no text has, stands once for each chunk and its length.
+    marked = asked.select("term").unionByName(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    listed = _candidates(chunks, filters, doc_ids).select("chunk_id", lexical.terms(F.col(text)).alias("terms"))
+    listed = listed.select("chunk_id", F.greatest(F.size("terms"), F.lit(1)).alias("dl"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    # Terms that nobody asks for go before anything is shuffled; texts are read once.
+    tf = listed.join(small(marked, MOST_TERMS), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = scratch.keep(tf, "postings")
+    whole = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl")).first()
+    tf, n, avgdl = tf.where("term <> ''"), whole.n or 0, whole.avgdl or 1.0
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # One row for each asked term, and one of corpus figures.
-    weights = df.join(F.broadcast(whole)).select("term", "avgdl", idf.alias("idf"))
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weights = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
     scored = tf.join(weights, "term").withColumn("gain", gain).join(asked, "term")
     scored = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("gain"), 6).alias("score")).where("score > 0")
     return top(scored, k, F.desc("score"), F.asc("chunk_id"), by="query_id")
@@ -76,10 +75,11 @@ def text_membership(queries: DataFrame, chunks: DataFrame, k: int, filters: Filt
     """Chunks by how many of the query's terms they contain as substrings,
     then by how often.  Score: the number of distinct terms."""
     asked = queries.select("query_id", lexical.query_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    if asked.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError("too many queries for one pass")
     rows = _candidates(chunks, filters, doc_ids).select("chunk_id", F.lower(F.col(text)).alias("body"))
-    pairs = rows.join(F.broadcast(asked))
+    pairs: DataFrame | None = None
+    for block in blocks(asked, MOST_QUERIES):
+        met = rows.join(F.broadcast(block))
+        pairs = met if pairs is None else pairs.unionByName(met)
     counts = F.transform("terms", lambda t: lexical.occurrences(F.col("body"), t))
     scored = pairs.select("query_id", "chunk_id", counts.alias("c")).select(
         "query_id",
@@ -99,12 +99,8 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int) -> DataFrame:
 
 def dense(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "chunk_id", vector: str = "dense") -> DataFrame:
     """Exact cosine top k of ``queries`` (query_id, vector) over ``rows``."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError("too many queries for one pass")
-    asked = F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))
-    scored = rows.select(id_col, F.col(vector).alias("_v")).join(asked)
-    scored = scored.select("query_id", id_col, F.round(vectors.cosine(F.col("_v"), F.col("_q")), 6).alias("score"))
-    return top(scored, k, F.desc("score"), F.asc(id_col), by="query_id")
+    found = nearest(queries, rows, k, id_col, vector)
+    return top(found, k, F.desc("score"), F.asc(id_col), by="query_id")
 
 
 def search_chunks(queries: DataFrame, chunks: DataFrame, k: int, filters: Filters | None = None, doc_ids=None) -> DataFrame:

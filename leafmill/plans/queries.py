@@ -248,23 +248,24 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), F.col("embedding").alias("dense"))
 
 
-def _first_vector(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id = 0")
-    return e.select(F.lit(1).alias("query_id"), F.col("embedding").alias("vector"))
+def _asked_vectors(spark, sf_dir) -> DataFrame:
+    """Every vector whose id is divisible by 20 is a query."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 _COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 
 
 def _dense_sql(where: str) -> str:
-    return f"""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
-s AS (SELECT 1 AS query_id, e.vec_id AS chunk_id, {_COS} AS score FROM embeddings e, q WHERE {where}),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 10"""
+    return f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, e.vec_id AS chunk_id, {_COS} AS score FROM embeddings e, q WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 10"""
 
 
 @query(_dense_sql("true"))
 def semantic_search(spark, sf_dir):
-    return retrieval.dense(_first_vector(spark, sf_dir), _vectors(spark, sf_dir), 10)
+    return retrieval.dense(_asked_vectors(spark, sf_dir), _vectors(spark, sf_dir), 10)
 
 
 @query(_dense_sql("e.label IN (1, 3, 5)"))
@@ -272,32 +273,32 @@ def semantic_scoped(spark, sf_dir):
     scope = spark.createDataFrame([("1",), ("3",), ("5",)], "document_id string")
     from leafmill.operators.filters import in_documents
 
-    return retrieval.dense(_first_vector(spark, sf_dir), in_documents(_vectors(spark, sf_dir), scope), 10)
+    return retrieval.dense(_asked_vectors(spark, sf_dir), in_documents(_vectors(spark, sf_dir), scope), 10)
 
 
 @query(
     """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
 p AS (SELECT label, i, avg(v) AS v FROM x GROUP BY ALL), c AS (SELECT CAST(label AS VARCHAR) AS document_id, list(v ORDER BY i) AS dense FROM p GROUP BY label),
-q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
-s AS (SELECT 1 AS query_id, document_id, round(list_cosine_similarity(dense, q.embedding::DOUBLE[]), 6) AS score FROM c, q),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5"""
+q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, document_id, round(list_cosine_similarity(dense, q.embedding::DOUBLE[]), 6) AS score FROM c, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5"""
 )
 def profile_search(spark, sf_dir):
     parts = _vectors(spark, sf_dir).select("document_id", F.posexplode("dense").alias("i", "v"))
     means = parts.groupBy("document_id", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
     profiles = means.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("dense"))
-    return retrieval.dense(_first_vector(spark, sf_dir), profiles, 5, "document_id")
+    return retrieval.dense(_asked_vectors(spark, sf_dir), profiles, 5, "document_id")
 
 
-def _embedding_sql(text: str) -> str:
-    return f"""list_transform(range(0, 8), lambda i: (strpos('0123456789abcdef', sha256({text} || ':0')[i * 2 + 1]) - 1) * 16 / 255.0::DOUBLE
+def _embedding_sql(text: str, dim: int = 8) -> str:
+    return f"""list_transform(range(0, {dim}), lambda i: (strpos('0123456789abcdef', sha256({text} || ':0')[i * 2 + 1]) - 1) * 16 / 255.0::DOUBLE
  + (strpos('0123456789abcdef', sha256({text} || ':0')[i * 2 + 2]) - 1) / 255.0::DOUBLE - 0.5)"""
 
 
-@query(f"SELECT doc_id, list_transform({_embedding_sql('text')}, lambda x: round(x, 6)) AS raw, 8 AS dim FROM documents")
+@query(f"SELECT doc_id, list_transform({_embedding_sql('text', 32)}, lambda x: round(x, 6)) AS raw, 32 AS dim FROM documents")
 def fake_embedding(spark, sf_dir):
-    raw = F.transform(vectors.hash_embedding(F.col("text"), 8, unit=False), lambda x: F.round(x, 6))
-    return documents(spark, sf_dir).select("doc_id", raw.alias("raw"), F.lit(8).alias("dim"))
+    raw = F.transform(vectors.hash_embedding(F.col("text"), 32, False), lambda x: F.round(x, 6))
+    return documents(spark, sf_dir).select("doc_id", raw.alias("raw"), F.lit(32).alias("dim"))
 
 
 def _hash_dense(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -393,31 +394,39 @@ def chunk_documents(spark, sf_dir):
     return splitting.split_texts(docs)
 
 
-_LINES = """l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS ix, unnest(string_split(text, chr(10))) AS line FROM documents),
-m AS (SELECT doc_id, ix, CASE ix % 3 WHEN 0 THEN (ix // 9 + 1) || '. ' ELSE (ix // 9 + 1) || '.' || (ix % 9) || ' ' END || line[1:30] AS line FROM l)"""
+#: Marks put before a document's sentences, in turn: numbers of one, two and
+#: three parts, an article, a chapter, an annex, and none.
+_MARKS = ("1. ", "1.2 ", "Madde 3 ", "ON BİRİNCİ BÖLÜM ", "EK-A ", "", "1.2.3 ")
+_LINES = rf"""s AS (SELECT doc_id, {_SENTENCES} AS parts FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(parts))) AS ix, regexp_replace(unnest(parts), '\s+$', '') AS part FROM s),
+m AS (SELECT *, ix // 9 + 1 AS n, CASE ix % 7 WHEN 0 THEN (ix // 9 + 1) || '. ' WHEN 1 THEN (ix // 9 + 1) || '.' || (ix % 9) || ' '
+  WHEN 2 THEN 'Madde ' || ix || ' ' WHEN 3 THEN 'ON BİRİNCİ BÖLÜM ' WHEN 4 THEN 'EK-A ' WHEN 5 THEN '' ELSE (ix // 9 + 1) || '.' || (ix % 9) || '.1 ' END AS mark FROM l),
+k AS (SELECT doc_id, ix, mark || part AS line, n < 100 AND length(mark || part) <= 80 AS fits, length(trim(part, ' ' || chr(9) || '-–—:')) <= 40 AS short, trim(mark) AS mark FROM m),
+h AS (SELECT *, CASE ix % 7 WHEN 0 THEN CASE WHEN fits AND short THEN 1 END WHEN 1 THEN CASE WHEN fits THEN 2 END WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1
+  WHEN 6 THEN CASE WHEN fits THEN 3 END END AS level, CASE WHEN ix % 7 IN (2, 3, 4) AND NOT short THEN mark ELSE line END AS title FROM k)"""
 
 
 def _numbered(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ix", "line"))
-    n = F.expr("ix div 9 + 1")
-    mark = F.when(F.col("ix") % 3 == 0, F.concat(n, F.lit(". "))).otherwise(F.concat(n, F.lit("."), F.col("ix") % 9, F.lit(" ")))
-    return rows.select("doc_id", "ix", F.concat(mark, F.substring("line", 1, 30)).alias("line"))
-
-
-_LEVEL = r"""CASE WHEN regexp_full_match(trim(line, ' ' || chr(9) || chr(13)), '[0-9]{1,2}\.\s+\S.*') AND NOT starts_with(line, '0') THEN 1
- WHEN regexp_full_match(trim(line, ' ' || chr(9) || chr(13)), '[0-9]{1,2}\.[0-9]\s+\S.*') THEN 2 END"""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(splitting.sentences(F.col("text"))).alias("ix", "line"))
+    n, m = F.expr("ix div 9 + 1"), F.col("ix") % 9
+    marks = [
+        F.concat(n, F.lit(". ")), F.concat(n, F.lit("."), m, F.lit(" ")), F.concat(F.lit("Madde "), F.col("ix"), F.lit(" ")),
+        F.lit(_MARKS[3]), F.lit(_MARKS[4]), F.lit(_MARKS[5]), F.concat(n, F.lit("."), m, F.lit(".1 ")),
+    ]
+    mark = F.element_at(F.array(*marks), F.col("ix") % 7 + 1)
+    return rows.select("doc_id", "ix", F.concat(mark, F.regexp_replace("line", r"\s+$", "")).alias("line"))
 
 
-@query(f"WITH {_LINES} SELECT doc_id, ix::INT AS ix, line, ({_LEVEL})::INT AS level FROM m")
+@query(f"WITH {_LINES} SELECT doc_id, ix::INT AS ix, line, level::INT AS level FROM h")
 def heading_levels(spark, sf_dir):
     return _numbered(spark, sf_dir).select("doc_id", "ix", "line", headings.heading_level(F.col("line")).cast("int").alias("level"))
 
 
 @query(
-    f"""WITH {_LINES}, h AS (SELECT doc_id, ix, trim(line, ' ' || chr(9) || chr(13)) AS title, {_LEVEL} AS level FROM m),
-k AS (SELECT *, max(CASE WHEN level = 1 THEN ix END) OVER (PARTITION BY doc_id ORDER BY ix) AS up FROM h WHERE level IS NOT NULL),
-j AS (SELECT k.*, p.title AS parent FROM k LEFT JOIN h p ON p.doc_id = k.doc_id AND p.ix = k.up AND k.level = 2)
-SELECT doc_id, ix::INT AS ix, CASE WHEN parent IS NULL THEN title ELSE parent || ' > ' || title END AS section_path FROM j"""
+    f"""WITH {_LINES}, u AS (SELECT *, max(CASE WHEN level = 1 THEN ix END) OVER w AS up1, max(CASE WHEN level = 2 THEN ix END) OVER w AS up2
+  FROM h WHERE level IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT u.doc_id, u.ix::INT AS ix, concat_ws(' > ', CASE WHEN u.level > 1 THEN a.title END, CASE WHEN u.level = 3 AND up2 > coalesce(up1, -1) THEN b.title END, u.title) AS section_path
+FROM u LEFT JOIN h a ON a.doc_id = u.doc_id AND a.ix = up1 LEFT JOIN h b ON b.doc_id = u.doc_id AND b.ix = up2"""
 )
 def section_paths(spark, sf_dir):
     line = F.col("line")
@@ -539,10 +548,10 @@ def _chunk_rows(spark, sf_dir) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), "text", F.lit(None).cast("string").alias("job_id"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS document_id, CASE WHEN lang = 'fr' THEN upper(text[1:20]) ELSE text END AS text, NULL::VARCHAR AS job_id FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS document_id, CASE WHEN lang = 'fr' THEN upper(text) ELSE text END AS text, NULL::VARCHAR AS job_id FROM documents")
 def upsert_chunks(spark, sf_dir):
     fresh = table(spark, sf_dir, "documents").where("lang = 'fr'").select(
-        F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.upper(F.substring("text", 1, 20)).alias("text"), F.lit(None).cast("string").alias("job_id")
+        F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.upper("text").alias("text"), F.lit(None).cast("string").alias("job_id")
     )
     return index.upsert(_chunk_rows(spark, sf_dir), fresh, "chunk_id")
 
@@ -628,12 +637,12 @@ def history_filter(spark, sf_dir):
 def _tool_messages(spark, sf_dir) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
     row = F.struct(
-        F.concat(F.lit("d"), F.col("turn") % 3).alias("doc_id"), F.concat(F.lit("c"), F.col("turn") % 4).alias("chunk_id"), F.substring("text", 1, 40).alias("text")
+        F.concat(F.lit("d"), F.col("turn") % 3).alias("doc_id"), F.concat(F.lit("c"), F.col("turn") % 4).alias("chunk_id"), F.col("text").alias("text")
     )
     return t.select("conv_id", "turn", F.to_json(F.array(row)).alias("payload"))
 
 
-_POOL = """t AS (SELECT conv_id, turn, 'd' || (turn % 3) AS doc_id, 'c' || (turn % 4) AS chunk_id, text[1:40] AS text FROM conversations),
+_POOL = """t AS (SELECT conv_id, turn, 'd' || (turn % 3) AS doc_id, 'c' || (turn % 4) AS chunk_id, text FROM conversations),
 pool AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY conv_id, chunk_id ORDER BY turn) = 1)"""
 
 
@@ -679,32 +688,39 @@ def _metrics_sql(k: int, tag: str = "") -> str:
 
 
 def _gold(spark, sf_dir) -> DataFrame:
-    """Documents that hold a question's passage: found by its first line's
-    words in order, so by an equi-join, then checked."""
+    """Documents that hold a question's passage.  A passage's longest inner word
+    stands whole in any text around it; documents with that word are looked at,
+    and all of them for the passages, few by a check, that have no such word."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
-    words = lambda t: F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))
-    # The second to fourth word stand whole in any text around the passage.
-    b = b.withColumn("w", words(F.col("passage"))).withColumn("key", F.array_join(F.slice("w", 2, 3), " "))
-    grams = d.select("document_id", "text", words(F.col("text")).alias("w"))
-    grams = grams.select("document_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("key"))
-    keys = b.select("key").distinct()
-    hit = grams.join(keys, "key", "left_semi").join(b.select("query_id", "passage", "key"), "key")
-    return hit.where(F.col("text").contains(F.col("passage"))).select("query_id", "document_id").distinct()
-
-
-def _metrics(spark, sf_dir, k: int = 10, depth: int = 20) -> DataFrame:
+    inner = F.split("passage", r"\s+")
+    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    b = Scratch(spark, "gold").keep(b.withColumn("key", F.when(key != "", key)), "passages")
+    words = d.select("document_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))
+    near = words.join(retrieval.small(b.where("key is not null"), retrieval.MOST_QUERIES), "key").select("document_id", "query_id", "passage")
+    hit = d.join(near, "document_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "document_id")
+    for block in retrieval.blocks(b.where("key is null")):
+        short = d.join(F.broadcast(block), F.col("text").contains(F.col("passage")))
+        hit = hit.unionByName(short.select("query_id", "document_id"))
+    return hit.distinct()
+
+
+def _metrics(spark, sf_dir, *ks: int, depth: int = 20) -> list[DataFrame]:
+    """The metrics at each k, over one ranking and one set of gold documents."""
+    scratch = Scratch(spark, "metrics")
     hits = retrieval.bm25(_questions(spark, sf_dir), documents(spark, sf_dir), depth)
-    ranked = evaluation.ranked_documents(hits.withColumnRenamed("chunk_id", "document_id"))
+    ranked = scratch.keep(evaluation.ranked_documents(hits.withColumnRenamed("chunk_id", "document_id")), "ranked")
+    gold = scratch.keep(_gold(spark, sf_dir), "gold")
     q = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.when(F.length("text") < 200, "short").otherwise("long").alias("question_type"), F.lit("benchmark").alias("goldset")
     )
-    return evaluation.retrieval_metrics(q, _gold(spark, sf_dir), ranked, k)
+    return [evaluation.retrieval_metrics(q, gold, ranked, k) for k in ks]
 
 
 @query(f"WITH {_metrics_sql(10)} SELECT * FROM e")
 def ir_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir)
+    return _metrics(spark, sf_dir, 10)[0]
 
 
 @query(
@@ -713,7 +729,7 @@ FROM e GROUP BY GROUPING SETS ((goldset, question_type), (goldset))"""
 )
 def ir_metrics_rollup(spark, sf_dir):
     mean = {m: F.round(F.avg(m), 6) for m in ("recall", "mrr", "ndcg")}
-    return evaluation.roll_up(_metrics(spark, sf_dir), ["goldset", "question_type"], ["goldset"], {"n": F.count(F.lit(1)), **mean})
+    return evaluation.roll_up(_metrics(spark, sf_dir, 10)[0], ["goldset", "question_type"], ["goldset"], {"n": F.count(F.lit(1)), **mean})
 
 
 @query(
@@ -722,8 +738,8 @@ SELECT 1 AS k, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM
 )
 def parameter_sweep(spark, sf_dir):
     parts = [
-        _metrics(spark, sf_dir, k).agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg")).select(F.lit(k).alias("k"), "recall", "ndcg")
-        for k in (1, 5)
+        m.agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg")).select(F.lit(k).alias("k"), "recall", "ndcg")
+        for k, m in zip((1, 5), _metrics(spark, sf_dir, 1, 5), strict=True)
     ]
     return parts[0].unionByName(parts[1])
 

@@ -135,3 +135,43 @@ def test_scratch_is_in_the_shared_folder(spark):
     kept = s.keep(spark.range(3), "t")
     assert s.root.startswith(shared_dir(spark)) and kept.count() == 3
     s.drop()
+
+
+def test_dense_search_in_blocks_against_brute_force(spark):
+    import numpy as np
+
+    from leafmill.operators import dense
+
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i:03d}", rng.integers(-2, 3, 5).astype(float).tolist()) for i in range(300)] + [("zero", [0.0] * 5), ("none", None)]
+    asked = [(i, rows[i][1]) for i in range(0, 300, 20)] + [(900, [0.0] * 5), (901, None)]
+    df = spark.createDataFrame(rows, "chunk_id string, dense array<double>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id int, vector array<double>")
+
+    def cosine(a, b):
+        size = float(np.linalg.norm(a) * np.linalg.norm(b))
+        return round(float(np.dot(a, b)) / size, 6) + 0.0 if size else 0.0
+
+    want = set()
+    for q, v in asked:
+        if v is not None:
+            ranked = sorted((-cosine(v, x), c) for c, x in rows if x is not None)[:7]
+            want |= {(q, c, -s + 0.0, k + 1) for k, (s, c) in enumerate(ranked)}
+    for most, products in ((10_000, 1 << 22), (4, 64)):
+        dense._PRODUCTS = products
+        found = dense.nearest(queries, df, 7, "chunk_id", "dense", most)
+        top = retrieval.top(found, 7, F.desc("score"), F.asc("chunk_id"), by="query_id")
+        assert {(r.query_id, r.chunk_id, r.score + 0.0, r["rank"]) for r in top.collect()} == want
+    dense._PRODUCTS = 1 << 22
+    assert len(dense.blocks(queries, 4)) == 9
+    assert sum(b.count() for b in dense.blocks(queries, 4)) == len(asked)
+
+
+def test_substring_search_takes_further_passes(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{i}", f"alpha{i % 3} beta{i % 5} gamma") for i in range(30)], "chunk_id string, text string").selectExpr(
+        "*", "'d' as document_id", "null as job_id", "null as language"
+    )
+    asked = spark.createDataFrame([(i, f"alpha{i % 3} beta{i % 5}") for i in range(12)], "query_id int, query string")
+    want = sorted(map(tuple, retrieval.text_membership(asked, chunks, 4).collect()))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
+    assert sorted(map(tuple, retrieval.text_membership(asked, chunks, 4).collect())) == want and len(want) == 48
