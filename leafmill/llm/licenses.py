@@ -330,7 +330,7 @@ def own_licenses(rows: DataFrame, vectors: Vectors, scratch: Scratch) -> DataFra
     compared = rows.select("row", "path", F.explode("parts").alias("p")).select("row", "path", "p.*")
     compared = compared.withColumns({k: F.xxhash64(F.lit(i), "said") for i, k in enumerate(_KEY)})
     distinct = compared.groupBy(*_KEY).agg(F.first("said").alias("said"), F.count(F.lit(1)).alias("n"))
-    distinct = scratch.keep(distinct, "distinct", "zstd")
+    distinct = scratch.keep(distinct, "distinct")
     kinds = classify(distinct.drop("n"), vectors)
     kinds = scratch.keep(kinds.join(distinct.select(*_KEY, "n"), list(_KEY)), "kinds")
     total = distinct.agg(F.sum("n")).first()[0] or 0
@@ -368,7 +368,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
     )
     total = docs.count()
     vectors = Vectors(document_frequencies(docs, vocabulary()), total)
-    rows = scratch.keep(found_parts(docs, vectors), "parts", "zstd")
+    rows = scratch.keep(found_parts(docs, vectors), "parts")
     own = own_licenses(rows, vectors, scratch)
     named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
     own = scratch.keep(own.withColumn("is_license_file", (F.col("opens") | named) & F.col("path").isNotNull()).drop("opens"), "own")
