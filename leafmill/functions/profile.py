@@ -55,6 +55,31 @@ def entities_by_place(text: Column) -> Column:
     )
 
 
+def outline_text(outline: Column, nodes: int = 20, children: int = 5) -> Column:
+    """Titles of the first top entries of an outline (ord, level, title, path)
+    in preorder, each with its first children, joined by dots."""
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("top"), F.lit(0).alias("child"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, o: Column) -> Column:
+        above = F.array_append(F.filter(acc["open"], lambda level: level < o["level"]), o["level"])
+        depth = F.size(above)
+        top = acc["top"] + (depth == 1).cast("int")
+        child = F.when(depth == 1, 0).otherwise(acc["child"] + (depth == 2).cast("int"))
+        kept = (top <= nodes) & ((depth == 1) | ((depth == 2) & (child <= children)))
+        out = F.when(kept, F.array_append(acc["out"], F.trim(o["title"]))).otherwise(acc["out"])
+        return F.struct(above.alias("open"), top.alias("top"), child.alias("child"), out.alias("out"))
+
+    return F.array_join(F.aggregate(outline, start, step, lambda acc: acc["out"]), " · ")
+
+
+def largest(blocks: Column) -> Column:
+    """The text of the first block in the largest type, of (ix, text,
+    font_size); null if no block has a size."""
+    sized = F.filter(blocks, lambda b: b["font_size"].isNotNull())
+    best = F.array_max(F.transform(sized, lambda b: F.struct(b["font_size"].alias("size"), (-b["ix"]).alias("first"), b["text"].alias("text"))))
+    return best["text"]
+
+
 def body_excerpt(text: Column, limit: int = 8192) -> Column:
     """Whole if short, else its first and last halves."""
     half = limit // 2

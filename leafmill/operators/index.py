@@ -17,14 +17,24 @@ class FingerprintMismatchError(ValueError):
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``new`` replaces rows of the same key."""
-    return existing.join(new.select(key), key, "left_anti").unionByName(new)
+    """``new`` replaces rows of the same key; null is a key like others."""
+    keys = new.select(F.col(key).alias("_key")).distinct()
+    return existing.join(keys, existing[key].eqNullSafe(keys["_key"]), "left_anti").unionByName(new)
 
 
 def replace_documents(existing: DataFrame, new: DataFrame, key: str = "document_id") -> DataFrame:
     """All rows of the documents in ``new`` give way to it, so a document that
     shrank leaves nothing behind."""
-    return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    return upsert(existing, new, key)
+
+
+def skipped(name: Column) -> Column:
+    """Whether a file's name is that of a database or of desktop litter."""
+    endings = [F.lower(name).endswith(s) for s in SKIPPED_SUFFIXES]
+    out = name.isin(*SKIPPED_NAMES)
+    for e in endings:
+        out = out | e
+    return out
 
 
 def set_job(rows: DataFrame, document: Column | str, job_id: str | None) -> DataFrame:
@@ -47,11 +57,7 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     content), without databases and desktop litter."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     path = F.regexp_replace("path", "^file:/+", "/")
-    name = F.element_at(F.split(path, "/"), -1)
-    kept = ~name.isin(*SKIPPED_NAMES)
-    for s in SKIPPED_SUFFIXES:
-        kept = kept & ~F.lower(name).endswith(s)
-    return files.where(kept).select(
+    return files.where(~skipped(F.element_at(F.split(path, "/"), -1))).select(
         ids.uuid5(path).alias("document_id"),
         path.alias("path"),
         ids.content_hash(F.col("content")).alias("content_hash"),
@@ -70,9 +76,10 @@ def diff(found: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def to_do(found: DataFrame, state: DataFrame, retry_failed: bool = False) -> DataFrame:
-    """Files to work on.  One whose content is known is left alone, unless it
-    failed and ``retry_failed`` asks for it."""
-    done = state if not retry_failed else state.where("status not in ('failed', 'pending')")
+    """Files to work on.  One whose content is known is left alone, unless it is
+    still pending, or failed and ``retry_failed`` asks for it."""
+    again = ["pending", "failed"] if retry_failed else ["pending"]
+    done = state.where(~F.col("status").isin(again))
     return found.join(done.select("document_id", "content_hash"), ["document_id", "content_hash"], "left_anti")
 
 
@@ -83,14 +90,21 @@ def stranded(state: DataFrame, root: str) -> DataFrame:
     return state.where(F.col("status").isin("parsed", "embedded") & under(root))
 
 
-def begin(state: DataFrame, found: DataFrame) -> DataFrame:
-    """State after new and changed files have been entered as pending."""
-    fresh = to_do(found, state).select(
+def begin(state: DataFrame, work: DataFrame) -> DataFrame:
+    """State after files have been entered as pending."""
+    fresh = work.select(
         "document_id", "path", "content_hash", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("chunk_count")
     )
     return upsert(state.select(*fresh.columns), fresh, "document_id")
 
 
+def status_counts(state: DataFrame, root: str | None = None) -> DataFrame:
+    """(status, n) of the documents, below a folder if one is given."""
+    from leafmill.operators.filters import under
+
+    return (state if root is None else state.where(under(root))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def transition(state: DataFrame, updates: DataFrame) -> DataFrame:
     """Applies (document_id, status, error, chunk_count); unknown statuses are
     an error, a null chunk_count keeps the old one."""

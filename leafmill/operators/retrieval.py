@@ -97,6 +97,15 @@ def sparse(queries: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     return top(pairs.where("score > 0"), k, F.desc("score"), F.asc("chunk_id"), by="query_id")
 
 
+def sparse_terms(queries: DataFrame, chunks: DataFrame, k: int, filters: Filters | None = None, doc_ids=None, text: str = "text") -> DataFrame:
+    """Sparse search where a text's vector has the counts of its terms, a
+    query's has ones: what a sparse encoder is given in its place."""
+    rows = _candidates(chunks, filters, doc_ids)
+    weights = postings(rows, text).select("chunk_id", lexical.term_id(F.col("term")).alias("token"), F.col("tf").cast("double").alias("w"))
+    asked = queries.select("query_id", F.explode(lexical.query_terms(F.col("query"))).alias("term"))
+    return sparse(asked.select("query_id", lexical.term_id(F.col("term")).alias("token"), F.lit(1.0).alias("q")), weights, k)
+
+
 def dense(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "chunk_id", vector: str = "dense") -> DataFrame:
     """Exact cosine top k of ``queries`` (query_id, vector) over ``rows``."""
     found = nearest(queries, rows, k, id_col, vector)

@@ -1,9 +1,9 @@
 """An archive on disk: index a folder, search it, browse it.
 
 Three keyed tables (``state``, ``chunks``, ``profiles``) live in versions below
-one root.  A run writes the next version of each and leaves the old one until
-it is done, so a run that fails changes nothing and one that is repeated finds
-nothing to do.
+one root.  A run writes the next version of each, the state last; what a run
+that failed left on the way is taken up by the next, and one that is repeated
+finds nothing to do.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from leafmill import registry
 from leafmill.config import Config
 from leafmill.functions import keywords, profile, quality, splitting
-from leafmill.operators import answers, index, retrieval, sections
+from leafmill.operators import answers, index, parsing, retrieval, sections
 from leafmill.operators.filters import Filters, chunk_predicate, profile_predicate
-from leafmill.sources import parsers
+from leafmill.scratch import Scratch
 
 SCHEMAS = {
     "state": "document_id string, path string, content_hash string, status string, error string, chunk_count int",
@@ -64,23 +64,29 @@ class Archive:
 
     # --- writing ------------------------------------------------------------
 
-    def index(self, folder: str, job_id: str | None = None) -> dict[str, int]:
-        """New and changed files of a folder; returns the progress counts."""
+    def index(self, folder: str, job_id: str | None = None, retry_failed: bool = False) -> dict[str, int]:
+        """New and changed files of a folder, and those that an earlier run left
+        on the way; returns the progress counts.  The three tables change one
+        after the other, the state last: a run that fails in between is made up
+        for by the next, which finds its files pending and replaces what they
+        left."""
         found = index.discover(self.spark, folder)
-        work = index.to_do(found, self.read("state"))
+        state = self.read("state")
+        work = index.to_do(found, state, retry_failed)
+        left = index.stranded(state, folder).select("document_id")
+        work = work.unionByName(found.join(left, "document_id", "left_semi").join(work.select("document_id"), "document_id", "left_anti"))
         if not work.isEmpty():
-            self._write("state", index.begin(self.read("state"), found))
-            parsed = work.join(parsers.parse_files(work), "path")
+            self._write("state", index.begin(state, work))
+            scratch = Scratch(self.spark, "parsed")
+            parsed = scratch.keep(work.drop("content").join(parsing.parse(work, scratch), "path"), "files")
             self._store(parsed, job_id)
+            scratch.drop()
             if not self._versions("meta"):
                 self._write("meta", self.spark.createDataFrame([(self.fingerprint,)], SCHEMAS["meta"]))
         return index.progress(self.read("state")).first().asDict()
 
     def _store(self, parsed: DataFrame, job_id: str | None) -> None:
-        from leafmill.scratch import Scratch
-
-        parsed = Scratch(self.spark, "parsed").keep(parsed.drop("content"), "files")
-        good = parsed.where("status = 'ok'")
+        good = parsed.where("status <> 'failed'")
         blocks = good.select("document_id", F.explode("blocks").alias("b")).select("document_id", "b.*")
         outline = good.select("document_id", F.explode("outline").alias("o")).select("document_id", "o.*", F.lit(None).cast("int").alias("page_no"))
         sectioned = sections.sectioned(blocks.drop("level").withColumnRenamed("ix", "block_ix"), outline)
@@ -94,7 +100,7 @@ class Archive:
         self._write("chunks", self.read("chunks").join(parsed.select("document_id"), "document_id", "left_anti").unionByName(chunks))
         self._write("profiles", index.replace_documents(self.read("profiles"), self._profiles(good, job)))
         counts = self.read("chunks").groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
-        done = parsed.select("document_id", F.when(F.col("status") == "ok", "profiled").otherwise("failed").alias("status"), "error").join(counts, "document_id", "left")
+        done = parsed.select("document_id", F.when(F.col("status") != "failed", "profiled").otherwise("failed").alias("status"), "error").join(counts, "document_id", "left")
         self._write("state", index.transition(self.read("state"), done))
 
     def _profiles(self, good: DataFrame, job) -> DataFrame:
@@ -103,14 +109,13 @@ class Archive:
         terms = keywords.extract(good.select("document_id", whole.alias("text")))
         rows = good.join(terms, "document_id").withColumns({"whole": whole, "intro": profile.intro(texts), "filename": F.element_at(F.split("path", "/"), -1)})
         body = F.col("whole")
-        score = quality.score(F.length(body) / F.greatest("page_count", F.lit(1)), quality.bad_char_ratio(body), quality.text_plausibility(body), F.lit(0))
-        outline = F.array_join(F.transform(F.slice("outline", 1, 20), lambda o: o["title"]), " · ")
+        outline = profile.outline_text(F.col("outline"))
         rows = rows.withColumns(
             {
                 "doc_type": F.lower(F.element_at(F.split("filename", r"\."), -1)),
                 "language": quality.detect_language(body),
                 "entities": F.slice(profile.entities_by_place(body), 1, 15),
-                "parse_quality": score,
+                "parse_quality": F.col("quality"),
                 "summary": F.substring("intro", 1, 300),
                 "topics": F.slice("keywords", 1, 10),
                 "parser_used": F.col("parser"),
@@ -129,8 +134,18 @@ class Archive:
         for name in ("chunks", "profiles"):
             self._write(name, index.set_job(self.read(name), F.lit(document_id), job_id))
 
+    def drop_all(self) -> None:
+        """Removes all tables; the next run begins anew, with any embedding."""
+        for name in SCHEMAS:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     # --- reading ------------------------------------------------------------
 
+    def profile(self, document_id: str):
+        """The profile row of a document, or None."""
+        return self.read("profiles").where(F.col("document_id") == document_id).first()
+
     def _question(self, text: str) -> DataFrame:
         return self.spark.createDataFrame([(1, text)], "query_id int, query string")
 
@@ -141,9 +156,7 @@ class Archive:
         chunks = self.read("chunks")
         asked = self._question(text)
         vector = asked.select("query_id", self.embed(F.col("query")).alias("vector"))
-        lexical = {"text": retrieval.text_membership, "bm25": retrieval.bm25}
-        if r.keyword_backend not in lexical and (strategy or r.strategy) != "semantic":
-            raise ValueError("the sparse backend needs sparse vectors, which this index has not")
+        lexical = {"text": retrieval.text_membership, "bm25": retrieval.bm25, "sparse": retrieval.sparse_terms}
         hits = retrieval.search(
             strategy or r.strategy,
             lambda n: retrieval.search_chunks(vector, chunks, n, filters, doc_ids),

@@ -70,7 +70,7 @@ def test_state(spark):
     found = spark.createDataFrame([("1", "/a/1", "h1"), ("2", "/a/2", "h2"), ("3", "/ab/3", "new"), ("4", "/a/4", "h4")], "document_id string, path string, content_hash string")
     assert sorted(r.document_id for r in index.to_do(found, state).collect()) == ["3", "4"]
     assert sorted(r.document_id for r in index.to_do(found, state, retry_failed=True).collect()) == ["2", "3", "4"]
-    begun = {r.document_id: r for r in index.begin(state, found).collect()}
+    begun = {r.document_id: r for r in index.begin(state, index.to_do(found, state)).collect()}
     assert begun["3"].status == begun["4"].status == "pending" and begun["3"].chunk_count == 0 and begun["1"].status == "profiled"
     assert index.stranded(state, "/a").count() == 0 and index.stranded(state, "/ab").count() == 1
     up = spark.createDataFrame([("3", "embedded", None, None)], "document_id string, status string, error string, chunk_count int")
@@ -107,7 +107,7 @@ def test_discover_parse_and_rerun(spark, tmp_path):
     assert [b.text for b in got["b.html"].blocks] == ["Head", "one", "two"]
     assert got["c.txt"].encoding == "cp1254" and [b.text for b in got["c.txt"].blocks] == ["şu", "ı"]
     assert [(b.text, b.level) for b in got["f.docx"].blocks] == [("T", 1), ("H", 2), ("body", None), ("a | b", None)]
-    assert got["d.pdf"].status == got["e.zip"].status == got["g.docx"].status == "failed" and "not installed" in got["d.pdf"].error
+    assert got["d.pdf"].status == got["e.zip"].status == got["g.docx"].status == "failed" and "not a PDF" in got["d.pdf"].error
     state = files.selectExpr("document_id", "path", "content_hash", "'profiled' as status")
     assert index.to_do(files, state).count() == 0
 
