@@ -87,6 +87,37 @@ def body_excerpt(text: Column, limit: int = 8192) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(ends)
 
 
+def model_lines(answer: Column) -> Column:
+    """struct(summary, topics, kind) of a model's answer: a line of topics, one
+    of the kind of text, and all other lines together as the summary."""
+    lines = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"\r\n|[\n\r]"), strip), lambda x: x != "")
+    rest = lambda x: strip(F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1))
+    # The labels that the model is asked for, in any case.
+    topics, kind = r"(?iu)^KONULAR:", r"(?iu)^T[İIiı]P:"
+    last = lambda p: F.try_element_at(F.transform(F.filter(lines, lambda x: x.rlike(p)), rest), F.lit(-1))
+    said = F.transform(F.filter(F.transform(F.split(last(topics), ","), strip), lambda t: t != ""), F.lower)
+    body = F.filter(lines, lambda x: ~x.rlike(topics) & ~x.rlike(kind))
+    return F.struct(
+        F.array_join(body, " ").alias("summary"),
+        F.coalesce(said, F.array().cast("array<string>")).alias("topics"),
+        F.nullif(F.lower(last(kind)), F.lit("")).alias("kind"),
+    )
+
+
+def model_profile(answer: Column, summary: Column, topics: Column, flags: Column) -> Column:
+    """struct(summary, topics, profile_source, profile_text): a cheap profile's
+    fields after a model has spoken.  The kind of text leads the topics; what the
+    model left out stays."""
+    made = model_lines(answer)
+    merged = F.array_distinct(F.concat(F.array_compact(F.array(made["kind"])), made["topics"]))
+    return F.struct(
+        F.when(made["summary"] != "", made["summary"]).otherwise(summary).alias("summary"),
+        F.when(F.size(merged) > 0, merged).otherwise(topics).alias("topics"),
+        F.array_union(flags, F.array(F.lit("has_llm_summary"))).alias("profile_source"),
+        F.concat(made["summary"], F.lit("\nKonular: "), F.array_join(merged, ", ")).alias("profile_text"),
+    )
+
+
 def profile_text(title_: Column, words: Column, outline: Column, keywords: Column, opening: Column, found: Column, kind: Column, pages: Column) -> Column:
     """The labelled lines that a profile is searched by; empty ones are left out."""
     line = lambda label, value: F.when(F.length(value) > 0, F.concat(F.lit(label), value))

@@ -48,6 +48,28 @@ def answer_sources(answers: DataFrame, pool: DataFrame, fallback: int = 3) -> Da
     return cited.unionByName(rest)
 
 
+def documents_seen(rows: DataFrame) -> DataFrame:
+    """Documents of tool rows (conv_id, turn, ix, doc_id, chunk_id, page), each
+    once, in the order seen: those of chunks before those named without one, and
+    with the chunk's page if both are there."""
+    seen = rows.where("doc_id is not null").withColumn("named_only", F.col("chunk_id").isNull())
+    first = seen.groupBy("conv_id", "doc_id").agg(F.min_by(F.struct("page"), F.struct("named_only", "turn", "ix"))["page"].alias("page"), F.min(F.struct("named_only", "turn", "ix")).alias("at"))
+    order = Window.partitionBy("conv_id").orderBy("at")
+    return first.withColumn("seq", F.row_number().over(order) - 1).drop("at")
+
+
+def summaries(chunks: DataFrame, limit: int = 600) -> DataFrame:
+    """(document_id, summary): a document's chunks in order, joined by spaces
+    and cut, for corpora without profiles."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "chunk_id", "text"))), lambda c: c["text"])
+    return chunks.groupBy("document_id").agg(F.substring(F.array_join(parts, " "), 1, limit).alias("summary"))
+
+
+def listing(profiles: DataFrame, limit: int = 50) -> DataFrame:
+    """Profiles by file name, cut after that."""
+    return profiles.orderBy("filename", "document_id").limit(limit)
+
+
 def plain_answer(answer: Column) -> Column:
     return F.trim(F.regexp_replace(answer, r"\s*" + MARK, ""))
 

@@ -117,6 +117,18 @@ def transition(state: DataFrame, updates: DataFrame) -> DataFrame:
     return out.withColumn("chunk_count", F.coalesce("_c", "chunk_count")).drop("_s", "_e", "_c")
 
 
+def listed(state: DataFrame, limit: int) -> DataFrame:
+    """The first rows of the state by document_id."""
+    return state.orderBy("document_id").limit(limit)
+
+
+def job_counts(state: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(job_id, documents, chunks): what a job's run has indexed, from the state
+    and (document_id, job_id); null is the common archive."""
+    done = state.where("status = 'profiled'").join(jobs, "document_id")
+    return done.groupBy("job_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("chunk_count").alias("chunks"))
+
+
 def progress(state: DataFrame) -> DataFrame:
     """One row: how many documents have come how far."""
     at = F.col("status")

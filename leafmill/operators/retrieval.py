@@ -160,6 +160,13 @@ def search(
     return rerank(hits, k) if rerank else hits
 
 
+def display_names(hits: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``hits`` with ``filename``: the profile's, or the id of a document
+    without one."""
+    names = profiles.select("document_id", "filename")
+    return hits.join(names, "document_id", "left").withColumn("filename", F.coalesce("filename", "document_id"))
+
+
 def positions(chunks: DataFrame) -> DataFrame:
     """Chunks with their place in the document."""
     by = Window.partitionBy("document_id").orderBy("start", "chunk_id")

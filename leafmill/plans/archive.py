@@ -169,8 +169,7 @@ class Archive:
         if r.neighbour_width > 0:
             wide = retrieval.expand_neighbours(hits.select("query_id", "chunk_id", "rank"), chunks, r.neighbour_width)
             rows = rows.drop("text").join(wide.select("chunk_id", "text"), "chunk_id")
-        names = self.read("profiles").select("document_id", "filename")
-        return rows.join(names, "document_id", "left").withColumn("filename", F.coalesce("filename", "document_id")).orderBy("rank")
+        return retrieval.display_names(rows, self.read("profiles")).orderBy("rank")
 
     def search_documents(self, text: str, k: int = 10, filters: Filters | None = None) -> DataFrame:
         vector = self._question(text).select("query_id", self.embed(F.col("query")).alias("vector"))
@@ -179,7 +178,7 @@ class Archive:
 
     def list_documents(self, filters: Filters | None = None, limit: int = 50) -> DataFrame:
         rows = self.read("profiles").where(profile_predicate(filters or Filters()))
-        return rows.orderBy("filename", "document_id").limit(limit).select("document_id", "filename", "doc_type", "language", "page_count", "topics", "summary", "job_id")
+        return answers.listing(rows, limit).select("document_id", "filename", "doc_type", "language", "page_count", "topics", "summary", "job_id")
 
     def document(self, document_id: str, section: str | None = None, job: str | None = None) -> DataFrame:
         return answers.document_text(self.read("chunks").where(F.col("document_id") == document_id), section, job)

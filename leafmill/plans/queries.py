@@ -17,7 +17,6 @@ from leafmill.functions import headings, ids, lexical, profile, quality, splitti
 from leafmill.operators import answers, evaluation, index, retrieval
 from leafmill.operators.filters import Filters, profile_predicate
 from leafmill.scratch import Scratch
-from leafmill.sources import parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,33 +90,14 @@ def document_uuid5(spark, sf_dir):
     return d.withColumn("document_id", ids.uuid5(F.col("path")))
 
 
-@query()
-def html_blocks(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
-    return parsers.parse_files(pages).select("path", "status", F.explode("blocks").alias("b")).select("path", "status", "b.*")
-
-
-@query(
-    r"""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
-    trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS h1 FROM pages"""
-)
-def html_titles(spark, sf_dir):
-    h = F.col("html")
-    bare = F.regexp_replace(F.regexp_extract(h, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", "")
-    return table(spark, sf_dir, "pages").select(
-        "page_id",
-        F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"),
-        F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("h1"),
-    )
-
-
 # --- text quality -----------------------------------------------------------
 
 _FW = ", ".join(f"'{w}'" for w in sorted(set(quality.TURKISH_WORDS + quality.ENGLISH_WORDS)))
 _TRW = ", ".join(f"'{w}'" for w in sorted(set(quality.TURKISH_WORDS)))
 _RUNS = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyzçğıöşü")
 _T = "regexp_extract_all(translate(text, '{1}', '{0}'), '[a-zçğıöşü]+')".format(_LOW, _UP)
-_QUALITY = rf"""q0 AS (SELECT doc_id, text, lang, source, {_T} AS toks FROM documents),
+def quality_sql(documents: str = "documents") -> str:
+    return rf"""q0 AS (SELECT doc_id, text, lang, source, {_T} AS toks FROM {documents}),
 q1 AS (SELECT *, list_filter(toks, lambda t: length(t) >= 2) AS long FROM q0),
 q2 AS (SELECT *,
   CASE WHEN length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) = 0 THEN 0.0 ELSE
@@ -130,6 +110,9 @@ q2 AS (SELECT *,
 q3 AS (SELECT *, CASE WHEN len(toks) = 0 THEN 0.0 ELSE (script + vowels + words) / 3 * (1 - runs) END AS plausible FROM q2)"""
 
 
+_QUALITY = quality_sql()
+
+
 @query(
     f"""WITH {_QUALITY} SELECT doc_id, len(toks) AS n_tokens, round(script, 6) AS script_validity, round(vowels, 6) AS vowel_rate,
 round(words, 6) AS function_words, round(runs, 6) AS repetition, round(plausible, 6) AS plausibility, round(bad, 6) AS bad_chars FROM q3"""
@@ -140,24 +123,6 @@ def text_quality(spark, sf_dir):
     return rows.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *[F.round(r, 6).alias(r) for r in ratios])
 
 
-@query(
-    f"""WITH {_QUALITY}, g AS (SELECT doc_id, length(text)::DOUBLE AS chars, bad, plausible, script FROM q3),
-n AS (SELECT *, least(greatest(chars / 2666.5, 0), 1) * 0.39 + least(greatest((bad - 0.0648) / -0.0648, 0), 1) * 0.28
-  + least(greatest(plausible / 0.806, 0), 1) * 0.33 AS s FROM g)
-SELECT doc_id, round(s, 6) AS score,
-  CASE WHEN chars < 25 THEN 'ocr' WHEN script < 0.95 THEN NULL WHEN bad > 0.02 THEN 'ocr' WHEN plausible < 0.57 THEN 'ocr' END AS escalate_to,
-  CASE WHEN chars < 25 THEN 'chars_per_page' WHEN script < 0.95 THEN 'script_validity' WHEN bad > 0.02 THEN 'bad_char_ratio'
-    WHEN plausible < 0.57 THEN 'text_plausibility' END AS trigger, chars >= 25 AND script < 0.95 AS unrecoverable FROM n"""
-)
-def quality_gate(spark, sf_dir):
-    rows = quality.measure(documents(spark, sf_dir).select("doc_id", "text")).withColumn("chars", F.length("text").cast("double"))
-    c = [F.col(n) for n in ("chars", "bad_chars", "plausibility")]
-    made = rows.select(
-        "doc_id", F.round(quality.score(*c, F.lit(0)), 6).alias("score"), quality.gate(*c, F.lit(0), F.col("script_validity"), F.lit(0)).alias("g")
-    )
-    return made.select("doc_id", "score", "g.escalate_to", "g.trigger", "g.unrecoverable")
-
-
 @query(
     f"""WITH {_QUALITY}, h AS (SELECT doc_id, toks, text, len(list_filter(toks, lambda t: t IN ({_TRW}))) AS a,
 len(list_filter(toks, lambda t: t IN ({_FW}) AND t NOT IN ({_TRW}))) AS b FROM q3)
@@ -235,9 +200,7 @@ def text_search(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 10"""
 )
 def sparse_search(spark, sf_dir):
-    weights = retrieval.postings(documents(spark, sf_dir)).select("chunk_id", lexical.term_id(F.col("term")).alias("token"), F.col("tf").cast("double").alias("w"))
-    asked = _ask(spark).select("query_id", F.explode(lexical.query_terms(F.col("query"))).alias("term"))
-    return retrieval.sparse(asked.select("query_id", lexical.term_id(F.col("term")).alias("token"), F.lit(1.0).alias("q")), weights, 10)
+    return retrieval.sparse_terms(_ask(spark), documents(spark, sf_dir), 10)
 
 
 # --- dense search -------------------------------------------------------------
@@ -437,19 +400,6 @@ def section_paths(spark, sf_dir):
     return docs.select("doc_id", F.explode(F.arrays_zip(F.transform("h", lambda x: x["ix"]).alias("ix"), paths.alias("section_path"))).alias("z")).select("doc_id", "z.*")
 
 
-@query(
-    """WITH r AS (SELECT r_regionkey AS k, n_nationkey, n_name || '|' || n_nationkey AS line FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT k AS region, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(line, '|', ' | ') || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM r GROUP BY k"""
-)
-def table_markdown(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", F.array("n_name", F.col("n_nationkey").cast("string")).alias("cells"))))
-    line = lambda c: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |"))
-    body = F.transform(rows, lambda r: line(r["cells"]))
-    head = F.array(F.lit("| name | key |"), F.lit("| --- | --- |"))
-    return n.groupBy(F.col("r_regionkey").alias("region")).agg(F.array_join(F.concat(head, body), "\n").alias("markdown"))
-
-
 # --- profiles -----------------------------------------------------------------
 
 _PROFILES = """p AS (SELECT CAST(d.doc_id AS VARCHAR) AS document_id, source || '/' || d.doc_id || '.txt' AS path, d.doc_id || '.txt' AS filename, lang AS language,
@@ -475,21 +425,6 @@ def filter_profiles(spark, sf_dir):
     return _profiles(spark, sf_dir).where(profile_predicate(f))
 
 
-@query(f"WITH {_PROFILES} SELECT document_id, path, filename, language FROM p ORDER BY filename, document_id LIMIT 50")
-def list_documents(spark, sf_dir):
-    return _profiles(spark, sf_dir).orderBy("filename", "document_id").limit(50).select("document_id", "path", "filename", "language")
-
-
-@query(
-    r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b\d{10}\b') || regexp_extract_all(text, '\b\d{11}\b')
- || regexp_extract_all(text, '\b\d{4}[/-][A-Za-z0-9]+(?:-[A-Za-z0-9]+)*\b'))) AS found FROM documents"""
-)
-def entities(spark, sf_dir):
-    found = profile.entities(F.col("text"))
-    numbers = F.filter(found, lambda v: v.rlike(r"^(\d{10}|\d{11}|\d{4}[/-][A-Za-z0-9]+(-[A-Za-z0-9]+)*)$"))
-    return documents(spark, sf_dir).select("doc_id", F.array_sort(numbers).alias("found"))
-
-
 @query(
     f"""WITH {_TF}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT chunk_id, term, round(tf * ln((1.0 + n) / (1 + df)), 6) AS weight FROM tf JOIN df USING (term), n WHERE length(term) > 2),
@@ -506,20 +441,6 @@ def keywords_tfidf(spark, sf_dir):
     return retrieval.top(rows, 10, F.desc("weight"), F.asc("term"), by="chunk_id")
 
 
-@query(
-    r"""WITH b AS (SELECT *, string_split(text, chr(10)) AS parts, source || '/' || doc_id || '.txt' AS path FROM documents),
-o AS (SELECT *, coalesce(list_filter(list_transform(parts, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: length(x) >= 60)[1][1:500], '') AS intro FROM b)
-SELECT doc_id, concat_ws(chr(10), 'Yol: ' || source || ' ' || doc_id, CASE WHEN intro <> '' THEN 'Giriş: ' || intro END, 'Tip: txt · 1 sayfa') AS text, intro[1:300] AS summary FROM o"""
-)
-def cheap_profile(spark, sf_dir):
-    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", profile.intro(F.split("text", "\n")).alias("intro"), profile.path_terms(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))).alias("words")
-    )
-    text = profile.profile_text(none, F.col("words"), none, empty, F.col("intro"), empty, F.lit("txt"), F.lit(1))
-    return rows.select("doc_id", text.alias("text"), F.substring("intro", 1, 300).alias("summary"))
-
-
 @query()
 def keywords_local(spark, sf_dir):
     """Keyphrases of each document by its own statistics."""

@@ -1,7 +1,7 @@
 import pytest
 from compare import rows_of, sql_rows
 
-from leafmill.plans.queries import QUERIES, SQL
+from leafmill.plans.catalog import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
