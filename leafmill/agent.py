@@ -129,14 +129,60 @@ def _pool(messages: list[dict]) -> tuple[dict[str, dict], list[str]]:
     return pool, list(documents)
 
 
-def run(model: Callable, tools: Tools, question: str, history: list[dict] = (), max_steps: int = 12, cancelled: Callable[[], bool] = lambda: False) -> Iterator[tuple[str, object]]:
-    """Events of one question: tool_call, tool_result, and last the answer.
+TRIMMED = "[an earlier result of this tool was taken out to save room; call it again if it is needed]"
+KEPT_RESULTS = 3
+SNIPPET = 160
+
+
+def trimmed(messages: list[dict], budget: int | None) -> list[dict]:
+    """What the model is shown: beyond ``budget`` tokens, at some four letters
+    each, all tool results but the last few are taken out."""
+    if budget is None or sum(len(m["content"]) for m in messages) <= 4 * budget:
+        return messages
+    results = [i for i, m in enumerate(messages) if m["role"] == "tool"]
+    old = set(results[:-KEPT_RESULTS])
+    return [{**m, "content": TRIMMED} if i in old else m for i, m in enumerate(messages)]
+
+
+def summary(rows: list[dict]) -> str:
+    """One line about a tool's rows: where each is from, and how it begins."""
+    if not rows:
+        return "0 results"
+    if "error" in rows[0]:
+        return str(rows[0]["error"])[:200]
+
+    def label(r: dict) -> str:
+        bits = [str(r.get("file") or r.get("doc_id") or "?")]
+        if r.get("section"):
+            bits.append(str(r["section"]))
+        elif r.get("page") is not None:
+            bits.append(f"p. {r['page']}")
+        if r.get("text"):
+            flat = " ".join(str(r["text"]).split())
+            bits.append(f"— {flat[:SNIPPET]}{'…' if len(flat) > SNIPPET else ''}")
+        return " ".join(bits)
+
+    return f"{len(rows)} results: " + "; ".join(map(label, rows))
+
+
+def run(
+    model: Callable,
+    tools: Tools,
+    question: str,
+    history: list[dict] = (),
+    max_steps: int = 12,
+    cancelled: Callable[[], bool] = lambda: False,
+    trim_tokens: int | None = None,
+) -> Iterator[tuple[str, object]]:
+    """Events of one question: tool_call, tool_result, sources_update after a
+    tool found something new, chunk with the answer's text, and last the answer;
+    an error ends them.
 
     When the steps run out the model gets one more turn, without tools.
     """
     messages: list[dict] = [m for m in history if m.get("role") in ("user", "assistant") and m.get("content")]
     messages.append({"role": "user", "content": question})
-    calls, text, truncated, stopped = 0, "", False, False
+    calls, text, truncated, stopped, known = 0, "", False, False, 0
     for step in range(max_steps + 1):
         if cancelled():
             stopped = True
@@ -144,7 +190,11 @@ def run(model: Callable, tools: Tools, question: str, history: list[dict] = (),
         if step == max_steps:
             truncated = True
             messages.append({"role": "user", "content": "Answer now from what you have found."})
-        turn = model(messages)
+        try:
+            turn = model(trimmed(messages, trim_tokens))
+        except Exception as e:  # noqa: BLE001  a model that fails is an event, not a lost connection
+            yield "error", f"{type(e).__name__}: {e}"
+            return
         text = (turn.get("content") or "").strip()
         messages.append({"role": "assistant", "content": text})
         wanted = turn.get("tool_calls") or []
@@ -155,10 +205,38 @@ def run(model: Callable, tools: Tools, question: str, history: list[dict] = (),
             yield "tool_call", call
             rows = tools.call(call["name"], call.get("arguments") or {})
             messages.append({"role": "tool", "content": json.dumps(rows, ensure_ascii=False)})
-            yield "tool_result", {"name": call["name"], "rows": len(rows)}
+            yield "tool_result", {"name": call["name"], "rows": len(rows), "summary": summary(rows)}
+        pool = _pool(messages)[0]
+        if len(pool) > known:
+            known = len(pool)
+            yield "sources_update", list(pool)
     pool, documents = _pool(messages)
     cited = [c for c in dict.fromkeys(MARK.findall(text)) if c in pool]
     if not cited and answers.ABSTAIN not in text:
         cited = list(pool)[:3]
     sources = [{k: pool[c].get(k) for k in ("file", "page", "section", "text", "chunk_id", "doc_id")} for c in cited]
+    if text:
+        yield "chunk", text
     yield "answer", Answer(text, sources, documents, calls, truncated and not stopped, stopped)
+
+
+def ask(model: Callable, tools: Tools, question: str, **settings) -> Answer:
+    """The answer alone; raises if the model failed."""
+    for kind, value in run(model, tools, question, **settings):
+        if kind == "error":
+            raise RuntimeError(value)
+        if kind == "answer":
+            return value
+    raise RuntimeError("no answer")
+
+
+def first_passages(messages: list[dict]) -> dict:
+    """A stand-in for a language model: it searches for the question once, and
+    answers with the beginnings of what was found."""
+    question = [m["content"] for m in messages if m["role"] == "user"][-1]
+    found = [m for m in messages if m["role"] == "tool"]
+    if not found:
+        return {"content": "", "tool_calls": [{"name": "keyword_search", "arguments": {"query": question}}]}
+    rows = [r for r in json.loads(found[-1]["content"]) if r.get("chunk_id")]
+    said = [f"{' '.join(r['text'].split())[:SNIPPET]} ⟦{r['chunk_id']}⟧" for r in rows[:3]]
+    return {"content": "\n".join(said) or answers.ABSTAIN}

@@ -12,6 +12,8 @@ from typing import Any
 
 import yaml
 
+from leafmill.functions.quality import QualityConfig
+
 
 class ConfigError(ValueError):
     pass
@@ -42,17 +44,45 @@ class Retrieval:
 class Embedding:
     provider: str = "fake"
     model: str = "fake"
+    base_url: str | None = None
     dim: int = 8
     normalize: bool = True
     api_key_env: str | None = None
     api_key: str | None = None
 
 
+@dataclass(frozen=True)
+class Agent:
+    provider: str = "fake"
+    model: str = "fake"
+    base_url: str | None = None
+    max_steps: int = 12
+    trim_tokens: int | None = 12_000
+    api_key_env: str | None = None
+    api_key: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.max_steps < 1:
+            raise ConfigError("agent.max_steps must be 1 or more")
+
+
+@dataclass(frozen=True)
+class Server:
+    host: str = "127.0.0.1"
+    port: int = 8000
+    uploads: str = "leafmill-uploads"
+    api_key_env: str | None = None
+    api_key: str | None = None
+
+
 @dataclass(frozen=True)
 class Config:
     chunking: Chunking = field(default_factory=Chunking)
     retrieval: Retrieval = field(default_factory=Retrieval)
     embedding: Embedding = field(default_factory=Embedding)
+    agent: Agent = field(default_factory=Agent)
+    server: Server = field(default_factory=Server)
+    quality: QualityConfig = field(default_factory=QualityConfig)
 
 
 def _filled(value: Any, env: Mapping[str, str]) -> Any:
@@ -86,8 +116,11 @@ def _build(kind: type, raw: Any, where: str) -> Any:
         raise ConfigError(f"{where}: unknown settings {', '.join(odd)}")
     made = {}
     for name, value in raw.items():
-        made[name] = _build(known[name].default_factory, value, f"{where}.{name}") if kind is Config else value
-    return kind(**made)
+        made[name] = _build(known[name].default_factory, value, f"{where}.{name}") if kind is Config else tuple(value) if isinstance(value, list) else value
+    try:
+        return kind(**made)
+    except (TypeError, ValueError) as e:
+        raise ConfigError(f"{where}: {e}") from e
 
 
 def load(path: str | Path, env: Mapping[str, str] | None = None) -> Config:

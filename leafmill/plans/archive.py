@@ -33,7 +33,7 @@ class Archive:
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         e = self.config.embedding
-        self.embed = registry.build("embedder", e.provider, dim=e.dim, normalize=e.normalize)
+        self.embed = registry.build("embedder", e.provider, dim=e.dim, normalize=e.normalize, base_url=e.base_url, model=e.model, api_key=e.api_key)
         self.fingerprint = index.fingerprint(e.provider, e.model, e.dim, e.normalize, False)
         stored = self.read("meta").first()
         index.check_fingerprint(stored and stored.fingerprint, self.fingerprint)
@@ -78,7 +78,7 @@ class Archive:
         if not work.isEmpty():
             self._write("state", index.begin(state, work))
             scratch = Scratch(self.spark, "parsed")
-            parsed = scratch.keep(work.drop("content").join(parsing.parse(work, scratch), "path"), "files")
+            parsed = scratch.keep(work.drop("content").join(parsing.parse(work, scratch, self.config.quality), "path"), "files")
             self._store(parsed, job_id)
             scratch.drop()
             if not self._versions("meta"):

@@ -39,3 +39,24 @@ def _reversed(**_: Any) -> Callable:
     from leafmill.operators.retrieval import rerank_reversed
 
     return rerank_reversed
+
+
+@register("embedder", "http")
+def _embedding_service(base_url: str = "", model: str = "", api_key: str | None = None, dim: int = 8, **_: Any) -> Callable:
+    from leafmill.services import embedder
+
+    return embedder(base_url, model, api_key, dim)
+
+
+@register("model", "fake")
+def _passages(**_: Any) -> Callable:
+    from leafmill.agent import first_passages
+
+    return first_passages
+
+
+@register("model", "http")
+def _chat_service(base_url: str = "", model: str = "", api_key: str | None = None, **_: Any) -> Callable:
+    from leafmill.services import chat
+
+    return chat(base_url, model, api_key)

@@ -88,7 +88,7 @@ def test_config_registry_and_cli(tmp_path, capsys):
         p.write_text(text)
         with pytest.raises(ConfigError):
             load(p, {})
-    assert registry.names("embedder") == ["fake"]
+    assert registry.names("embedder") == ["fake", "http"]
     with pytest.raises(ValueError, match="fake"):
         registry.build("embedder", "other")
     f = tmp_path / "x.txt"
