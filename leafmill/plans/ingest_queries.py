@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions import headings, ids
+from leafmill.functions import headings, ids, splitting
 from leafmill.operators import evaluation, index, parsing, sections
 from leafmill.operators.filters import under
 from leafmill.plans.queries import _SENTENCES, quality_sql, query, sentence_chunks, table
@@ -202,6 +202,33 @@ def gate_calibration(spark, sf_dir):
     return rows.select("lang", "trigger", "n", *[F.round(c, 6).alias(c) for c in rows.columns[3:]])
 
 
+# --- chunks -------------------------------------------------------------------
+
+_END = r"([.!?…])(\s+)"
+_PACKED = rf"""d AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text FROM documents WHERE text <> ''),
+g AS (SELECT document_id, string_split(regexp_replace(text, '(\n)(\s*\n)', chr(2) || '\1\2' || chr(2), 'g'), chr(2)) AS parts FROM d),
+p0 AS (SELECT document_id, unnest(range(0, len(parts))) AS k, unnest(parts) AS part FROM g),
+p AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY document_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at0 FROM p0),
+s0 AS (SELECT document_id, k, at0, CASE WHEN length(part) <= 1200 THEN [part] ELSE string_split(regexp_replace(part, '{_END}', '\1' || chr(1) || '\2', 'g'), chr(1)) END AS bits FROM p WHERE k % 2 = 0),
+s1 AS (SELECT document_id, k, at0, unnest(range(0, len(bits))) AS j, unnest(bits) AS bit FROM s0),
+s2 AS (SELECT *, at0 + coalesce(sum(length(bit)) OVER (PARTITION BY document_id, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at1 FROM s1),
+s3 AS (SELECT document_id, k, j, at1 + CASE WHEN j > 0 THEN length(bit) - length(regexp_replace(bit, '^\s+', '')) ELSE 0 END AS a, at1 + length(bit) AS b FROM s2 WHERE trim(bit, {_STRIP}) <> ''),
+s4 AS (SELECT document_id, k, j, a AS a0, b, unnest(CASE WHEN b - a <= 1200 THEN [a] ELSE range(a, b, 1200) END) AS a FROM s3),
+u AS (SELECT document_id, a, CASE WHEN b - a0 > 1200 THEN least(b, a + 1200) ELSE b END AS b, row_number() OVER (PARTITION BY document_id ORDER BY a) AS i FROM s4),
+w AS (SELECT document_id, i, a, b, 0 AS c, 1200 - (b - a) AS room FROM u WHERE i = 1
+  UNION ALL SELECT u.document_id, u.i, u.a, u.b, CASE WHEN u.b - u.a <= w.room THEN w.c ELSE w.c + 1 END, CASE WHEN u.b - u.a <= w.room THEN w.room ELSE 1200 END - (u.b - u.a)
+  FROM w JOIN u ON u.document_id = w.document_id AND u.i = w.i + 1),
+x AS (SELECT document_id, c, min(a) AS a, max(b) AS b FROM w GROUP BY ALL),
+y AS (SELECT x.*, text, greatest(0, a - 180) AS lo FROM x JOIN d USING (document_id)),
+z AS (SELECT *, CASE WHEN c = 0 THEN a ELSE lo + length(regexp_extract(text[lo + 1 : a], '(?s)^(.*?[.!?…]\s+)', 1)) END AS st FROM y)"""
+
+
+@query(f"WITH RECURSIVE {_PACKED} SELECT document_id || ':' || lpad(c::VARCHAR, 5, '0') AS chunk_id, document_id, text[st + 1 : b] AS text, st::INT AS start, b::INT AS \"end\" FROM z")
+def chunk_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    return splitting.split_texts(docs)
+
+
 # --- sections -----------------------------------------------------------------
 
 _STYLED = f"""s AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id, {_SENTENCES} AS parts FROM documents),

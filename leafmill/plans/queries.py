@@ -351,12 +351,6 @@ def get_document(spark, sf_dir):
     return answers.document_text(rows, job="src1")
 
 
-@query()
-def chunk_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
-    return splitting.split_texts(docs)
-
-
 #: Marks put before a document's sentences, in turn: numbers of one, two and
 #: three parts, an article, a chapter, an annex, and none.
 _MARKS = ("1. ", "1.2 ", "Madde 3 ", "ON BİRİNCİ BÖLÜM ", "EK-A ", "", "1.2.3 ")
