@@ -237,15 +237,11 @@ def best_settings(spark, sf_dir):
 
 # --- strategies ---------------------------------------------------------------
 
-_MEMBERS = f"""qm AS (SELECT item_id AS query_id, list_distinct({_terms_sql('text')}) AS terms FROM benchmark),
-mm AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, list_transform(terms, lambda t: (length(text) - length(replace(lower(text), t, ''))) // length(t)) AS c FROM documents, qm WHERE len(terms) > 0),
-ms AS (SELECT query_id, chunk_id, len(list_filter(c, lambda n: n > 0)) AS score, list_sum(c) AS occ FROM mm),
-r_text AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, occ DESC, chunk_id) AS rank FROM ms WHERE score > 0 QUALIFY rank <= 10)"""
 _SPARSE = f"""sd AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, unnest({_terms_sql('text')}) AS term FROM documents),
 sq AS ({_BATCH}), ss AS (SELECT query_id, chunk_id, count(*) AS score FROM sd JOIN sq USING (term) GROUP BY ALL),
 r_sparse AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ss QUALIFY rank <= 10)"""
 _BM25 = f"r_bm25 AS (SELECT query_id, chunk_id, rank FROM ({_bm25_sql(_BATCH, 'true', 10)}))"
-_FUSED = """u AS (SELECT query_id, chunk_id, rank, 0 AS l FROM r_bm25 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM r_text),
+_FUSED = """u AS (SELECT query_id, chunk_id, rank, 0 AS l FROM r_bm25 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM r_sparse),
 fu AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min({'l': l, 'r': rank}) AS first FROM u GROUP BY ALL),
 r_fused AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first.l, first.r) AS rank FROM fu QUALIFY rank <= 10)"""
 
@@ -256,15 +252,15 @@ def _measured(name: str) -> str:
   FROM benchmark LEFT JOIN gold ON gold.query_id = item_id LEFT JOIN r_{name} r ON r.query_id = item_id AND r.chunk_id = gold.document_id GROUP BY item_id)"""
 
 
-@query(f"WITH {_GOLD}, {_MEMBERS}, {_SPARSE}, {_BM25}, {_FUSED} {' UNION ALL '.join(_measured(n) for n in ('text', 'bm25', 'sparse', 'fused'))}")
+@query(f"WITH {_GOLD}, {_SPARSE}, {_BM25}, {_FUSED} {' UNION ALL '.join(_measured(n) for n in ('bm25', 'sparse', 'fused'))}")
 def strategy_sweep(spark, sf_dir):
-    """Recall and MRR of each way to search, over the same questions."""
+    """Recall and MRR of keyword searches and their fusion, over the same questions."""
     scratch = Scratch(spark, "sweep")
     asked, docs = _questions(spark, sf_dir), documents(spark, sf_dir)
     gold = scratch.keep(_gold(spark, sf_dir), "gold")
-    ways = {"text": retrieval.text_membership, "bm25": retrieval.bm25, "sparse": retrieval.sparse_terms}
+    ways = {"bm25": retrieval.bm25, "sparse": retrieval.sparse_terms}
     hits = {n: scratch.keep(f(asked, docs, 10), n) for n, f in ways.items()}
-    hits["fused"] = retrieval.fuse([hits["bm25"], hits["text"]], 10)
+    hits["fused"] = retrieval.fuse([hits["bm25"], hits["sparse"]], 10)
     out: DataFrame | None = None
     for name, found in hits.items():
         ranked = evaluation.ranked_documents(found.withColumnRenamed("chunk_id", "document_id"))
