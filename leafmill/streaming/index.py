@@ -34,7 +34,7 @@ class Progress(StreamingQueryListener):
         self.failed: dict[str, str] = {}
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
-        self.rows[str(event.id)] = 0
+        self.rows.setdefault(str(event.id), 0)  # a query that goes on keeps its id
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         self.rows[str(event.progress.id)] = self.rows.get(str(event.progress.id), 0) + event.progress.numInputRows
