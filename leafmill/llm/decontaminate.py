@@ -14,6 +14,7 @@ the other terms' positions, less their offsets, rarest first.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -42,6 +43,17 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_SPLIT).split() if text else []
 
 
+def _packed(data: bytes) -> bytes:
+    """Compressed here, as Parquet would take all rows of a file for one page,
+    and buffers of its size outside the heap."""
+    return struct.pack("<I", len(data)) + pa.compress(data, codec="lz4", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    size = struct.unpack_from("<I", data)[0]
+    return pa.decompress(data[4:], decompressed_size=size, codec="lz4", asbytes=True) if size else b""
+
+
 def index_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType(
         [
@@ -72,9 +84,9 @@ def _segment(number: int, ids: list, docs: list[np.ndarray], numbers: dict[bytes
         "segment": pa.array([number], pa.int64()),
         "ids": pa.array([ids], pa.list_(id_type)),
         "n_words": pa.array([lengths.tolist()], pa.list_(pa.int32())),
-        "terms": pa.array([b" ".join(numbers)], pa.binary()),
+        "terms": pa.array([_packed(b" ".join(numbers))], pa.binary()),
         "counts": pa.array([counts.tobytes()], pa.binary()),
-        "postings": pa.array([planes.tobytes()], pa.binary()),
+        "postings": pa.array([_packed(planes.tobytes())], pa.binary()),
     }
     return pa.RecordBatch.from_pydict(row)
 
@@ -117,9 +129,10 @@ class Segment:
         self.ids, self.n_words = row["ids"], row["n_words"]
         self.counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
         self.ends = np.cumsum(self.counts)
-        planes = np.frombuffer(row["postings"], np.uint8).reshape(4, -1)
+        planes = np.frombuffer(_unpacked(row["postings"]), np.uint8).reshape(4, -1)
         self.steps = np.ascontiguousarray(planes.T).view("<u4").ravel()
-        self.numbers = {w: i for i, w in enumerate(row["terms"].split(b" "))} if row["terms"] else {}
+        terms = _unpacked(row["terms"])
+        self.numbers = {w: i for i, w in enumerate(terms.split(b" "))} if terms else {}
         self.bases = np.concatenate([[0], np.cumsum(np.array(self.n_words, np.int64) + GAP)[:-1]])
         self._lists: dict[bytes, np.ndarray] = {}
 
@@ -166,7 +179,7 @@ def _frequencies(wanted):
         for batch in batches:
             for t, c in zip(batch.column(0), batch.column(1), strict=True):
                 counts = np.frombuffer(c.as_py(), "<u4").tolist()
-                for w, n in zip(t.as_py().split(b" ") if counts else (), counts, strict=True):
+                for w, n in zip(_unpacked(t.as_py()).split(b" ") if counts else (), counts, strict=True):
                     if w in terms:
                         sums[w] += n
         yield pa.RecordBatch.from_arrays(
@@ -323,7 +336,7 @@ def contamination(
     them.
     """
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
-    index = scratch.keep(build_index(docs, id_col, text_col), "index")
+    index = scratch.keep(build_index(docs, id_col, text_col), "index", "none")
     id_type = docs.schema[id_col].dataType
     judged = T.StructType(
         [
