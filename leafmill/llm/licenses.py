@@ -371,7 +371,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
     rows = scratch.keep(found_parts(docs, vectors), "parts")
     own = own_licenses(rows, vectors, scratch)
     named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
-    own = scratch.keep(own.withColumn("is_license_file", (F.col("opens") | named) & F.col("path").isNotNull()).drop("opens"), "own")
+    own = own.withColumn("is_license_file", (F.col("opens") | named) & F.col("path").isNotNull()).drop("opens")
 
     declared = own.where("is_license_file").groupBy(directory(F.col("path")).alias("up"))
     declared = declared.agg(F.min(F.struct("path", F.col("own_license").alias("license"))).alias("d")).select("up", "d.license")
@@ -381,7 +381,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
     declared = scratch.keep(declared.join(below, "up"), "declared")
     above = join_groups(ups, declared, ["up"], "below", ups.count())
     nearest = above.groupBy("dir").agg(F.max(F.struct(F.length("up"), "up", "license")).alias("m")).select(F.col("dir").alias("d"), "m.up", "m.license")
-    groups = scratch.keep(dirs.join(nearest, dirs["dir"] == nearest["d"], "left").drop("d"), "nearest")
+    groups = dirs.join(nearest, dirs["dir"] == nearest["d"], "left").drop("d")
     out = rows.select("row", "id", "path", directory(F.col("path")).alias("dir")).join(own.drop("path"), "row", "left")
     none = F.col("own_license").isNull()
     return join_groups(out, groups, ["dir"], "n", total).select(
