@@ -19,6 +19,9 @@ _SETTING = "spark.checkpoint.dir"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of an Arrow batch that goes to a Python worker while a table is written.
 BATCH_BYTES = 4 << 20
+#: Of local folders: no checksum file beside each part.  Making one starts a
+#: process of its own, to set its permissions, from an executor's JVM.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _open: list["Scratch"] = []
 
 
@@ -71,7 +74,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
         with small_batches(self.spark):
-            df.write.mode("overwrite").option("compression", compression).parquet(path)
+            df.write.mode("overwrite").options(**_PLAIN, compression=compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
