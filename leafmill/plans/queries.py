@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions import headings, ids, lexical, profile, quality, splitting, vectors
+from leafmill.functions import headings, ids, lexical, quality, splitting, vectors
 from leafmill.operators import answers, evaluation, index, retrieval
 from leafmill.operators.filters import Filters, profile_predicate
 from leafmill.scratch import Scratch
