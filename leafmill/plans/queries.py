@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import headings, ids, lexical, quality, splitting, vectors
 from leafmill.operators import answers, evaluation, index, retrieval
 from leafmill.operators.filters import Filters, profile_predicate
-from leafmill.scratch import Scratch
+from leafmill.scratch import Scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,7 +33,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows  # what is done to their texts takes long
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

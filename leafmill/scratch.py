@@ -50,10 +50,21 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_BATCH_SETTING, before)
 
 
+def _held(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, or a huge number if that is unknown."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:
+    """A small table, whose file may be one piece, dealt to all cores; a larger
+    one is read by its pieces, without a shuffle."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _held(df) <= small else df
+
+
 def partitions_for(df: DataFrame, size: int = 128 << 20) -> int:
     """Partitions for a shuffle of whole rows of ``df``: the session's number,
     or one for each ``size`` bytes that its files hold, if these are more."""
-    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    held = _held(df)
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(usual, -(-held // size)) if held < 1 << 60 else usual  # unknown sizes are given as huge
 
