@@ -467,7 +467,7 @@ def _chunk_rows(spark, sf_dir) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS document_id, CASE WHEN lang = 'fr' THEN upper(text) ELSE text END AS text, NULL::VARCHAR AS job_id FROM documents")
 def upsert_chunks(spark, sf_dir):
     fresh = table(spark, sf_dir, "documents").where("lang = 'fr'").select(
-        F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.upper("text").alias("text"), F.lit(None).cast("string").alias("job_id")
+        F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), lexical.upper(F.col("text")).alias("text"), F.lit(None).cast("string").alias("job_id")
     )
     return index.upsert(_chunk_rows(spark, sf_dir), fresh, "chunk_id")
 

@@ -28,6 +28,16 @@ def test_folding_and_terms(spark):
     assert one(spark, lexical.occurrences(F.col("t"), F.lit("aa")), t="aaaaa") == 2
 
 
+def test_upper_of_every_character_is_that_of_the_sql(spark):
+    import duckdb
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(chars[i : i + 4096]) for i in range(0, len(chars), 4096)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(lexical.upper(F.col("t"))).collect()
+    assert [r[0] for r in got] == [duckdb.execute("SELECT upper(?)", [t]).fetchone()[0] for t in texts]
+    assert one(spark, lexical.upper(F.col("t")), t="Straße, ﬁn ŉ ǰ ᾳ") == "STRAẞE, ﬁN ŉ ǰ ᾼ"
+
+
 def slow_quality(t):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZÇĞİÖŞÜ", "abcdefghijklmnopqrstuvwxyzçğiöşü")
     toks = re.findall("[a-zçğıöşü]+", t.translate(low))
