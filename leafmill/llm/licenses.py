@@ -28,11 +28,12 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.joins import join_groups
-from leafmill.scratch import Scratch
+from leafmill.scratch import Scratch, files_for, in_files
 
 # Titles, headers, passages of the texts, and usual statements of public licenses.
 _MIT = (
@@ -289,8 +290,10 @@ def classify(said: DataFrame, vectors: Vectors) -> DataFrame:
     that any template fits."""
     spark = said.sparkSession
     keys = [c for c in said.columns if c != "said"]
-    rows = spark.createDataFrame(vectors.rows, "t int, license string, token string, weight double")
-    idf = spark.createDataFrame(list(vectors.idf.items()), "token string, idf double")
+    # Arrow tables become local relations; lists of tuples would pass through Python workers.
+    t, license_, token, weight = zip(*vectors.rows, strict=True)
+    rows = spark.createDataFrame(pa.table({"t": pa.array(t, pa.int32()), "license": license_, "token": token, "weight": weight}))
+    idf = spark.createDataFrame(pa.table({"token": list(vectors.idf), "idf": list(vectors.idf.values())}))
     tf = said.select(*keys, F.explode(tokens(F.col("said"))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.join(F.broadcast(idf), "token", "left")
     tf = tf.withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(vectors.other)))
@@ -324,15 +327,15 @@ def found_parts(df: DataFrame, vectors: Vectors) -> DataFrame:
     )
 
 
-def own_licenses(rows: DataFrame, vectors: Vectors, scratch: Scratch) -> DataFrame:
+def own_licenses(rows: DataFrame, vectors: Vectors, scratch: Scratch, files: int | None = None) -> DataFrame:
     """(row, path, own_license, own_score, opens) of the rows of ``found_parts``
-    that have a license of their own."""
+    that have a license of their own.  ``files``: of a scratch table, at most."""
     compared = rows.select("row", "path", F.explode("parts").alias("p")).select("row", "path", "p.*")
     compared = compared.withColumns({k: F.xxhash64(F.lit(i), "said") for i, k in enumerate(_KEY)})
     distinct = compared.groupBy(*_KEY).agg(F.first("said").alias("said"), F.count(F.lit(1)).alias("n"))
-    distinct = scratch.keep(distinct, "distinct")
+    distinct = scratch.keep(in_files(distinct, files), "distinct")
     kinds = classify(distinct.drop("n"), vectors)
-    kinds = scratch.keep(kinds.join(distinct.select(*_KEY, "n"), list(_KEY)), "kinds")
+    kinds = scratch.keep(in_files(kinds.join(distinct.select(*_KEY, "n"), list(_KEY)), files), "kinds")
     total = distinct.agg(F.sum("n")).first()[0] or 0
     named = join_groups(compared.drop("said"), kinds, _KEY, "n", total).select("row", "path", "at", "license", "score")
     stated = rows.select("row", "path", F.lit(OPENING).alias("at"), F.explode("spdx").alias("license"), F.lit(1.0).alias("score"))
@@ -366,25 +369,27 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
         F.col(f"`{path_col}`").cast("string").alias("path"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
-    total = docs.count()
+    total, files = docs.count(), files_for(df)
     vectors = Vectors(document_frequencies(docs, vocabulary()), total)
-    rows = scratch.keep(found_parts(docs, vectors), "parts")
-    own = own_licenses(rows, vectors, scratch)
+    # Texts are scanned by as many tasks as they have pieces; the few rows' worth that they leave is dealt to few files.
+    rows = scratch.keep(in_files(found_parts(docs, vectors).hint("rebalance", F.col("row")), files), "parts")
+    own = own_licenses(rows, vectors, scratch, files)
     named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
     own = own.withColumn("is_license_file", (F.col("opens") | named) & F.col("path").isNotNull()).drop("opens")
 
     declared = own.where("is_license_file").groupBy(directory(F.col("path")).alias("up"))
     declared = declared.agg(F.min(F.struct("path", F.col("own_license").alias("license"))).alias("d")).select("up", "d.license")
-    dirs = scratch.keep(rows.groupBy(directory(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n")), "dirs")
+    dirs = rows.groupBy(directory(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+    dirs = scratch.keep(in_files(dirs, files), "dirs")
     ups = dirs.where("dir is not null").select("dir", F.explode(_above(F.col("dir"))).alias("up"))
     below = ups.groupBy("up").agg(F.count(F.lit(1)).alias("below"))
-    declared = scratch.keep(declared.join(below, "up"), "declared")
+    declared = scratch.keep(in_files(declared.join(below, "up"), files), "declared")
     above = join_groups(ups, declared, ["up"], "below", ups.count())
     nearest = above.groupBy("dir").agg(F.max(F.struct(F.length("up"), "up", "license")).alias("m")).select(F.col("dir").alias("d"), "m.up", "m.license")
     groups = dirs.join(nearest, dirs["dir"] == nearest["d"], "left").drop("d")
     out = rows.select("row", "id", "path", directory(F.col("path")).alias("dir")).join(own.drop("path"), "row", "left")
     none = F.col("own_license").isNull()
-    return join_groups(out, groups, ["dir"], "n", total).select(
+    return in_files(join_groups(out, groups, ["dir"], "n", total), files).select(
         F.col("id").alias(id_col),
         "path",
         "own_license",

@@ -2,11 +2,13 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from oracle import same
 
+from leafmill import scratch
 from leafmill.llm import licenses as lic
 from leafmill.llm.queries import ORACLES, QUERIES
 
@@ -48,6 +50,38 @@ def test_against_sql_without_the_gate(spark, tmp_path):
     assert len(kinds) > 15 and kinds[None] > 20
 
 
+def test_few_files_and_partitions(spark, tmp_path):
+    """However many pieces the input has and shuffles deal, each scratch table
+    has a file for each core at most, and the result a partition."""
+    said = [f"Licensed under {t}\ntale {i}" if i % 3 else f"tale {i}" for i, (_, t) in enumerate(lic.TEMPLATES * 3)]
+    (tmp_path / "docs").mkdir()
+    for k in range(12):
+        rows = {"doc_id": list(range(k, len(said), 12)), "text": said[k::12], "source": [f"s{i % 5}" for i in range(k, len(said), 12)]}
+        pq.write_table(pa.table(rows), tmp_path / f"docs/{k}.parquet")
+    pq.write_table(pq.read_table(tmp_path / "docs"), tmp_path / "documents.parquet")
+    path = "source || '/d' || doc_id % 40 || '/LICENSE.' || doc_id"
+    many = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "64m"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = lic.scan(spark.read.parquet(str(tmp_path / "docs")).selectExpr("*", f"{path} AS path"))
+        same(got, lic.oracle(path), tmp_path)
+        most = spark.sparkContext.defaultParallelism
+        assert got.rdd.getNumPartitions() <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = Counter(p.parent.name for p in Path(scratch._open[-1].root.removeprefix("file:")).glob("*/part-*"))
+    assert set(files) == {"parts", "distinct", "kinds", "dirs", "declared"} and max(files.values()) <= most, files
+
+
+def test_templates_without_python_workers(spark):
+    vectors = lic.Vectors({w: 1 for w in lic.vocabulary()}, 9)
+    plan = lic.classify(spark.range(9).selectExpr("id", "'mit license' AS said"), vectors)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") >= 2 and "LogicalRDD" not in plan
+
+
 def slow_cosine(said, vectors):
     c = Counter(lic.tokens_of(said))
     w = {t: (1 + math.log(k)) * vectors.idf.get(t, vectors.other) for t, k in c.items()}
